@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, toxicity
+from . import langid, mixing, toxicity
 from .common import held_out, table
 
 
@@ -18,8 +18,13 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(found["doc_id"]).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_mixing": op2_mixing,
     "op3_language_id": op3_language_id,
 }
 
