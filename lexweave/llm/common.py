@@ -95,7 +95,7 @@ def word_hashes(texts: list[bytes], letters_only: bool = False) -> tuple[np.ndar
     return h, np.searchsorted(ends_of_text, start, side="right"), start, end, raw
 
 
-def in_pieces(texts: list[bytes], most: int = 4 << 20):
+def in_pieces(texts: list[bytes], most: int = 2 << 20):
     """Index ranges of `texts` of about `most` bytes each."""
     at, size = 0, 0
     for i, t in enumerate(texts):

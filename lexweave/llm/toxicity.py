@@ -96,7 +96,7 @@ def _rows_of(texts) -> list[np.ndarray]:
     return out
 
 
-def fit(labelled: DataFrame, *, strength: float = 1.0, most_rows: int = 12_000, most_features: int = 4096, least_gain: float = 25.0, l2: float = 1e-6, steps: int = 600, seed: int = 7, identities=IDENTITIES) -> Model:
+def fit(labelled: DataFrame, *, strength: float = 1.0, most_rows: int = 4_000, most_features: int = 4096, least_gain: float = 25.0, l2: float = 1e-6, steps: int = 600, seed: int = 7, identities=IDENTITIES) -> Model:
     """Learn from `labelled` (doc_id, text, toxic).
 
     At most about `most_rows` rows of each label are gathered, chosen by a seeded hash of doc_id;
@@ -120,19 +120,21 @@ def fit(labelled: DataFrame, *, strength: float = 1.0, most_rows: int = 12_000,
 
     rows = chosen.select("text", F.col("toxic").cast("int").alias("toxic")).mapInPandas(each, "toxic int, own binary, twins array<binary>").collect()
     y = np.array([r["toxic"] for r in rows], float)
-    x = [np.frombuffer(r["own"], np.uint32) for r in rows]
-    pairs = [(i, np.frombuffer(t, np.uint32)) for i, r in enumerate(rows) for t in r["twins"]]
+    x = [np.frombuffer(bytes(r["own"]), np.uint32) for r in rows]
+    pairs = [(i, np.frombuffer(bytes(t), np.uint32)) for i, r in enumerate(rows) for t in r["twins"]]
+    del rows
     weight = np.where(y == 1, 1 / take[1], 1 / take[0])
     weight /= weight.sum()
 
-    ids, inverse = np.unique(np.concatenate(x), return_inverse=True)
-    doc = np.repeat(np.arange(len(x)), [len(v) for v in x])
-    in1, in0 = (np.bincount(inverse, weight[doc] * (y[doc] == v), len(ids)) for v in (1, 0))
+    ids = np.unique(np.concatenate(x))
+    in1, in0 = np.zeros(len(ids)), np.zeros(len(ids))
+    for features_of, positive, share in zip(x, y, weight, strict=True):
+        (in1 if positive else in0)[np.searchsorted(ids, features_of)] += share
     p1, p0 = (y * weight).sum(), ((1 - y) * weight).sum()
     a, b, c, d = in1, in0, p1 - in1, p0 - in0
     log = lambda v, e: v * np.log(np.maximum(v, 1e-12) / e)
     df, nd = a + b, c + d
-    gain = 2 * len(rows) * (log(a, df * p1) + log(b, df * p0) + log(c, np.maximum(nd * p1, 1e-12)) + log(d, np.maximum(nd * p0, 1e-12)))
+    gain = 2 * len(x) * (log(a, df * p1) + log(b, df * p0) + log(c, np.maximum(nd * p1, 1e-12)) + log(d, np.maximum(nd * p0, 1e-12)))
     gain[a * p0 <= b * p1] = 0
     best = np.argsort(-gain, kind="stable")[:most_features]
     kept = np.sort(ids[best[gain[best] >= least_gain]])
@@ -181,7 +183,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Learn from the labelled documents outside the held-out third, then score every document."""
     known = labels.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    most = options.get("most_rows", 12_000)
+    most = options.get("most_rows", 4_000)
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     # Two thousandths of slack keep the later choice by the same hash whole.
     few = F.lit(False)
