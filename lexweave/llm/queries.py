@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, sharding, toxicity
+from . import fingerprint, langid, mixing, sharding, toxicity
 from .common import held_out, table
 
 
@@ -23,6 +23,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -32,6 +36,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
     "op3_language_id": op3_language_id,
+    "op6_fingerprint": op6_fingerprint,
     "op7_sharding": op7_sharding,
 }
 
