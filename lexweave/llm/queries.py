@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, langid, mixing, sharding, toxicity
+from . import fingerprint, langid, mixing, near_dedup, sharding, toxicity
 from .common import held_out, table
 
 
@@ -23,6 +23,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.cluster(table(spark, sf_dir, "documents"))
+
+
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -36,6 +40,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
     "op3_language_id": op3_language_id,
+    "op5_near_dedup": op5_near_dedup,
     "op6_fingerprint": op6_fingerprint,
     "op7_sharding": op7_sharding,
 }
