@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, langid, mixing, near_dedup, sharding, toxicity
+from . import decontaminate, fingerprint, langid, mixing, near_dedup, sharding, toxicity
 from .common import held_out, table
 
 
@@ -36,6 +36,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
@@ -43,6 +47,7 @@ QUERIES = {
     "op5_near_dedup": op5_near_dedup,
     "op6_fingerprint": op6_fingerprint,
     "op7_sharding": op7_sharding,
+    "op8_decontamination": op8_decontamination,
 }
 
 #: Learnt models and iterations have no SQL twin; tests hold them against brute force or held-out labels.
