@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, langid, mixing, near_dedup, sharding, toxicity
+from . import decontaminate, fingerprint, langid, mixing, near_dedup, pii, sharding, toxicity
 from .common import held_out, table
 
 
@@ -40,6 +40,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
@@ -48,6 +52,7 @@ QUERIES = {
     "op6_fingerprint": op6_fingerprint,
     "op7_sharding": op7_sharding,
     "op8_decontamination": op8_decontamination,
+    "op9_pii": op9_pii,
 }
 
 #: Learnt models and iterations have no SQL twin; tests hold them against brute force or held-out labels.
