@@ -86,9 +86,9 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _located(matches: str, gaps: str) -> str:
+def _located(matches: str, gaps: str, case: str = "lower") -> str:
     """SQL for the spans of the matches, whose places follow from the lengths of matches and gaps."""
-    place = f"struct(acc.at + length({gaps}[i]) AS start, acc.at + length({gaps}[i]) + length({matches}[i]) AS end, {matches}[i] AS m, lower(right({gaps}[i], 40)) AS b)"
+    place = f"struct(acc.at + length({gaps}[i]) AS start, acc.at + length({gaps}[i]) + length({matches}[i]) AS end, {matches}[i] AS m, {case}(right({gaps}[i], 40)) AS b)"
     located = (
         f"aggregate(sequence(0, size({matches}) - 1), struct(0 AS at, cast(array() AS array<struct<start:int,end:int,m:string,b:string>>) AS found), "
         f"(acc, i) -> struct(acc.at + length({gaps}[i]) + length({matches}[i]) AS at, concat(acc.found, array({place})) AS found), acc -> acc.found)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, langid, mixing, near_dedup, pii, sharding, toxicity
+from . import decontaminate, fingerprint, langid, mixing, near_dedup, pii, secret_scan, sharding, toxicity
 from .common import held_out, table
 
 
@@ -23,6 +23,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.fit(secret_scan.findings(spark)))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.cluster(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
     "op3_language_id": op3_language_id,
+    "op4_secret_scan": op4_secret_scan,
     "op5_near_dedup": op5_near_dedup,
     "op6_fingerprint": op6_fingerprint,
     "op7_sharding": op7_sharding,
