@@ -73,11 +73,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def word_hashes(texts: list[bytes], letters_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], letters_only: bool = False, marks: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words of many UTF-8 texts, A-Z lower-cased.
 
     A word is a run of bytes other than space and 0x09-0x0D; with `letters_only`, other ASCII
-    characters that are no letters separate too. Returns (hash, text number, start, end, bytes): the starts and
+    characters that are no letters separate too; with `marks`, runs of other ASCII characters are words
+    of their own. Returns (hash, text number, start, end, bytes): the starts and
     ends index the joined bytes."""
     joined = b" ".join(texts) + b" "
     raw = _LOWER[np.frombuffer(joined, np.uint8)]
@@ -86,8 +87,13 @@ def word_hashes(texts: list[bytes], letters_only: bool = False) -> tuple[np.ndar
     space = _SPACE[raw]
     if letters_only:
         space = space | ((raw < 128) & ~((raw >= 97) & (raw <= 122)))
-    edge = np.diff(np.concatenate(([1], space.view(np.int8), [1])))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    kind = (~space).astype(np.int8)
+    if marks:
+        kind[~space & (raw < 128) & ~((raw >= 97) & (raw <= 122)) & ~((raw >= 48) & (raw <= 57))] = 2
+    change = np.flatnonzero(np.diff(np.concatenate(([0], kind, [0]))))
+    bounds = np.concatenate((change, [len(raw)]))
+    inside = kind[np.minimum(bounds[:-1], len(raw) - 1)] > 0
+    start, end = bounds[:-1][inside], bounds[1:][inside]
     up, down = _powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, langid, mixing, near_dedup, pii, secret_scan, sharding, toxicity
+from . import decontaminate, fingerprint, langid, mixing, near_dedup, pii, quality, secret_scan, sharding, toxicity
 from .common import held_out, table
 
 
@@ -48,6 +48,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
@@ -58,6 +62,7 @@ QUERIES = {
     "op7_sharding": op7_sharding,
     "op8_decontamination": op8_decontamination,
     "op9_pii": op9_pii,
+    "op10_quality": op10_quality,
 }
 
 #: Learnt models and iterations have no SQL twin; tests hold them against brute force or held-out labels.
