@@ -16,16 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written once to the shared checkpoint folder and read from there afterwards.
-
-    The cluster names the folder in spark.checkpoint.dir; one is made here only where that is
-    unset, as in local tests."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one the cluster names in spark.checkpoint.dir,
+    or one of our own where that is unset, as in local tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lexweave-checkpoint-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexweave-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` written once to the shared folder and read from there afterwards."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import regex
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, unit_hash
@@ -118,8 +118,8 @@ class Judge:
         return self.model.languages[best], float(score), float((second - sizes[best]) / max(second, 1.0))
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with lang_pred, score, margin and rejected beside its other columns."""
+def _judgement(text: Column, model: Model) -> Column:
+    """A struct of lang_pred, score and margin."""
 
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         judge = Judge(model)
@@ -127,11 +127,23 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             found = [judge.of(t) for t in texts]
             yield pd.DataFrame({"lang_pred": [x[0] for x in found], "score": [x[1] for x in found], "margin": [x[2] for x in found]})
 
-    judge = F.pandas_udf(judged, "lang_pred string, score double, margin double")
+    return F.pandas_udf(judged, "lang_pred string, score double, margin double")(text)
+
+
+def _rejected(judgement: Column, model: Model) -> Column:
+    return (judgement["lang_pred"] == UNKNOWN) | (judgement["margin"] < model.margin)
+
+
+def rejection(text: Column, model: Model) -> Column:
+    """Whether the language of a text is unknown or told apart too narrowly."""
+    return _rejected(_judgement(text, model), model)
+
+
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """`docs` with lang_pred, score, margin and rejected beside its other columns."""
     own = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "margin", "rejected", "__found")]
-    found = docs.select(*own, judge(F.col("text")).alias("__found"))
-    narrow = (F.col("__found.lang_pred") == UNKNOWN) | (F.col("__found.margin") < model.margin)
-    return found.select(*own, "__found.lang_pred", "__found.score", "__found.margin", narrow.alias("rejected"))
+    found = docs.select(*own, _judgement(F.col("text"), model).alias("__found"))
+    return found.select(*own, "__found.lang_pred", "__found.score", "__found.margin", _rejected(F.col("__found"), model).alias("rejected"))
 
 
 def learn_and_identify(docs: DataFrame, **options) -> DataFrame:

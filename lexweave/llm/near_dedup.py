@@ -55,10 +55,9 @@ def shingle_sets(texts, k: int = 4):
             if end - at >= k:
                 yield np.unique(full[at : end - k + 1])
             elif end > at:
-                few = np.uint64(end - at) * _PLACE[15]
-                for j in range(end - at):
-                    few = few + h[at + j] * _PLACE[j]
-                yield mix(np.array([few], np.uint64))
+                # The number of words keeps a short text from equalling a shingle.
+                words = np.append(h[at:end], np.uint64(end - at))
+                yield mix((words * np.append(_PLACE[: end - at], _PLACE[15])).sum(keepdims=True, dtype=np.uint64))
             else:
                 yield np.empty(0, np.uint64)
 
