@@ -169,7 +169,49 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataF
     return checkpointed(counted.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("u", "v"))
 
 
-def cluster(docs: DataFrame, *, k: int = 4, percent: int = 80, trees: int = 4, branches: int = 2, small: int = 40, depth: int = 8, rounds: int = 2, slack: float = 0.15) -> DataFrame:
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows of nodes in which more than one component is left, with the node's size."""
+    sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("a"), F.max("label").alias("b")).where("a < b")
+    return rows.select("node", "rep", "label").join(sizes.select("node", "size"), "node")
+
+
+def _viable(docs: DataFrame, hot: DataFrame, brief: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of large nodes whose sets do not part, the rows that may still have a partner.
+
+    Shingles that no other set of these nodes has are private. They bound every intersection, and
+    exactly: copies of one text with many edits of their own, which are alike but not alike enough, go at once."""
+    ids = checkpointed(hot.select(F.col("rep").alias("id")).distinct())
+    sets = _full_sets(docs, ids, k).join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    alone = sets.select("doc_id", F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("doc_id").alias("rep")).where("c = 1")
+    private = alone.groupBy("rep").agg(F.count("*").alias("private"))
+    known = brief.join(ids.withColumnRenamed("id", "rep"), "rep", "left_semi").join(private, "rep", "left").withColumn("private", F.coalesce("private", F.lit(0)))
+    rows = hot.select("node", "rep", "label").join(checkpointed(known), "rep")
+    least = rows.groupBy("node").agg(F.min("n").alias("least"))
+    # Intersection >= percent / (100 + percent) of both sizes together.
+    partner = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
+    rows = rows.join(least, "node").where((100 + percent) * (F.col("n") - F.col("private")) >= percent * (F.col("n") + partner))
+    rows = checkpointed(rows.drop("least"))
+    return _mixed(rows).join(rows.select("node", "rep", "n", "packed", "private"), ["node", "rep"])
+
+
+def _met(rows: DataFrame, percent: int, slack: float, block: int = 400) -> DataFrame:
+    """The pairs (u, v) of different components that meet in a node and may reach the threshold.
+
+    Nodes are compared in blocks of about `block` rows against each other, so that no task gets a whole large node."""
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    key = ["node", "b1", "b2"]
+    rows = rows.select("node", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "rep", "label", F.struct("n", "private", "packed").alias("p"))
+    a = rows.select(*key, F.col("rep").alias("u"), F.col("label").alias("lu"), F.col("own").alias("ou"), F.col("p"))
+    b = rows.select(*key, F.col("rep").alias("v"), F.col("label").alias("lv"), F.col("own").alias("ov"), F.col("p").alias("q"))
+    met = (F.col("u") < F.col("v")) & (F.col("lu") != F.col("lv")) & ((F.col("b1") == F.col("b2")) | (F.col("ou") != F.col("ov")))
+    most = F.least(F.col("p.n") - F.col("p.private"), F.col("q.n") - F.col("q.private"))
+    bound = (100 + percent) * most >= percent * (F.col("p.n") + F.col("q.n"))
+    return a.join(b, key).where(met & bound & _promising("p", "q", percent, slack)).select("u", "v").distinct()
+
+
+def cluster(docs: DataFrame, *, k: int = 4, percent: int = 80, trees: int = 4, branches: int = 2, small: int = 40, depth: int = 4, rounds: int = 2, slack: float = 0.15) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of `docs` (doc_id, text): links at `percent` % Jaccard similarity of shingles of `k` words."""
     every = checkpointed(sketches(docs, k))
     some = every.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
@@ -180,7 +222,7 @@ def cluster(docs: DataFrame, *, k: int = 4, percent: int = 80, trees: int = 4, b
     shared = top.groupBy("node").agg(F.count("*").alias("size")).where("size > 1").select("node")
     rows = checkpointed(top.join(shared, "node"))
 
-    brief = reps.select("rep", "n", "packed")
+    brief = reps.select("rep", "n", "packed")  # joined where rows have met
     links, labels = None, None
 
     def labelled(frame: DataFrame) -> DataFrame:
@@ -198,14 +240,15 @@ def cluster(docs: DataFrame, *, k: int = 4, percent: int = 80, trees: int = 4, b
         links = found if links is None else checkpointed(links.union(found))
         labels = checkpointed(components(links).select(F.col("id").alias("rep"), F.col("root").alias("label")))
 
-    frontier, leaves = checkpointed(labelled(rows).select("node", "rep", "label")), []
+    frontier, leaves, hot = checkpointed(labelled(rows).select("node", "rep", "label")), [], None
     for level in range(depth):
-        sizes = frontier.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("node", "size")
-        open_ = checkpointed(frontier.join(sizes, "node"))
-        last = level == depth - 1
-        leaves.append(open_.drop("size") if last else open_.where(F.col("size") <= small).drop("size"))
+        open_ = checkpointed(_mixed(frontier))
+        leaves.append(open_.where(F.col("size") <= small))
         large = open_.where(F.col("size") > small)
-        if last or large.isEmpty():
+        if large.isEmpty():
+            break
+        if level == depth - 1:
+            hot = large
             break
         # The node chooses the coordinates; those of the first level are not used again.
         free = STORED - trees * branches
@@ -217,11 +260,11 @@ def cluster(docs: DataFrame, *, k: int = 4, percent: int = 80, trees: int = 4, b
     leaf = leaves[0]
     for more in leaves[1:]:
         leaf = leaf.union(more)
-    leaf = leaf.join(brief.select("rep", F.struct("n", "packed").alias("p")), "rep")
-    a = leaf.select("node", F.col("rep").alias("u"), F.col("label").alias("lu"), F.col("p").alias("p"))
-    b = leaf.select("node", F.col("rep").alias("v"), F.col("label").alias("lv"), F.col("p").alias("q"))
-    pairs = a.join(b, "node").where((F.col("u") < F.col("v")) & (F.col("lu") != F.col("lv")) & _promising("p", "q", percent, slack))
-    more = _confirmed(docs, pairs.select("u", "v").distinct(), k, percent)
+    leaf = leaf.join(brief, "rep").withColumn("private", F.lit(0))
+    pairs = _met(leaf, percent, slack)
+    if hot is not None:
+        pairs = pairs.union(_met(_viable(docs, hot, brief, k, percent), percent, slack)).distinct()
+    more = _confirmed(docs, pairs, k, percent)
     roots = components(links.union(more)).select(F.col("id").alias("rep"), "root")
 
     classes = reps.select("rep", "d0", "d1", F.col("n").alias("size")).join(roots, "rep", "left").select("d0", "d1", "size", F.coalesce("root", "rep").alias("root"))
