@@ -9,8 +9,8 @@ subtracting its vector.
 Components: `DENSE` full 64-bit ones, which decide equality; the number of paragraphs; and `LEVELS`
 times `LANES` sparse 16-bit ones. A paragraph is non-zero in one lane of level 0, and with
 probability 2**-j also in one lane of level j. The share of equal lanes tells how many paragraphs
-differ, from few at level 0 to many at the last level; `likeness` turns that into an estimated
-Jaccard similarity of the two multisets.
+differ, few at level 0 and many at the last level; `likeness` takes the likeliest number and turns it
+into a Jaccard similarity of the two multisets.
 
 Defined results: null is the empty text, whose fingerprint is all zeros; equal fingerprints have
 likeness 1; texts that differ only in the order of paragraphs have equal fingerprints; the document
@@ -29,8 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DENSE, LEVELS, LANES = 8, 6, 16
+#: Numbers of differing paragraphs, and for each and every level the log chances that a lane is equal or not.
+_DIFFER = np.unique(np.round(np.geomspace(1, 1 << 22, 160)))
+_CHANCE = np.exp(-_DIFFER[:, None] / (LANES * 2.0 ** np.arange(LEVELS)))
+_SAME, _OTHER = np.log(np.maximum(_CHANCE, 1e-300)), np.log(np.maximum(1 - _CHANCE, 1e-300))
 _CUT = re.compile(r"(?<=\n)|(?<=[.!?])(?= )")
-_LAST = (1 << 63) - 1
+_LAST = (1 << 63) - 1  # the place of a missing doc_id
 
 
 def paragraphs(text: str) -> list[str]:
@@ -97,13 +101,9 @@ def likeness(a: Hash, b: Hash) -> float:
     most = a.count + b.count
     if not a.count or not b.count:
         return 0.0
-    differ = float(most)
-    for level in range(LEVELS):
-        at = slice(level * LANES, (level + 1) * LANES)
-        equal = int((a.lanes[at] == b.lanes[at]).sum()) / LANES
-        if equal >= 0.3 or level == LEVELS - 1:
-            differ = -LANES * np.log(max(equal, 0.5 / LANES)) * 2**level
-            break
+    equal = (a.lanes == b.lanes).reshape(LEVELS, LANES).sum(axis=1)
+    possible = _DIFFER <= max(most, 1)
+    differ = float(_DIFFER[possible][(_SAME @ equal + _OTHER @ (LANES - equal))[possible].argmax()])
     differ = min(float(most), max(1.0, differ))
     return float((most - differ) / (most + differ))
 
@@ -124,8 +124,8 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     buckets = buckets or 6 * parts
     keys = docs.select(key.alias("key"))
-    bounds = sorted(set(keys.approxQuantile("key", [i / buckets for i in range(1, buckets)], 0.2 / buckets)))
-    splits = np.array(bounds, np.int64)
+    bounds = keys.approxQuantile("key", [i / buckets for i in range(1, buckets)], 0.2 / buckets)
+    splits = np.array(sorted({int(b) for b in bounds if b < 2.0**63}), np.int64)
 
     @F.pandas_udf("int")
     def bucket(k: pd.Series) -> pd.Series:

@@ -62,7 +62,7 @@ VALID = {"email": "true", "ip": _PARTS, "card": _luhn(_DIGITS), "phone": f"lengt
 
 #: Votes of the form labeler: 1 for, 0 none, -1 against. m is the match.
 FORM = {
-    "email": "CASE WHEN m rlike '(?:[.]|[Dd][Oo][Tt][)\\\\] ]+)[A-Za-z]{2,6}$' THEN 1 ELSE -1 END",
+    "email": "CASE WHEN NOT m rlike '[^A-Za-z][A-Za-z]{2,6}$' THEN -1 WHEN m rlike '[@(\\\\[]' THEN 1 ELSE 0 END",
     "ip": f"CASE WHEN {_PARTS} THEN 1 ELSE -1 END",
     "card": f"CASE WHEN {_luhn(_DIGITS)} THEN 1 ELSE -1 END",
     "phone": f"CASE WHEN length({_DIGITS}) NOT BETWEEN 10 AND 15 THEN -1 WHEN m rlike '^[+]?[0-9]{{0,3}}[ .-]?[(]?[0-9]{{3}}[)]?[ .-][0-9]{{3}}[ .-][0-9]{{4}}$' THEN 1 WHEN m rlike '^[0-9]+$' THEN -1 ELSE 0 END",
