@@ -8,7 +8,7 @@ exhaustively, larger ones branch on. Every pair with a sketch that may reach the
 confirmed on the full sets.
 
 What large groups of near copies would cost is saved by links already known: in each node, every set
-is first compared with one member, drawn anew in each of two rounds. Nodes whose sets are all
+is first compared with some members that share many paths, drawn anew in each of some rounds. Nodes whose sets are all
 connected by then end there, and in the others only pairs across components are compared. No such
 pair is dropped; it is only not needed when both are in one component.
 
@@ -24,9 +24,11 @@ ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, in_pieces, mix, utf8, word_hashes
@@ -172,26 +174,37 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataF
 def _mixed(rows: DataFrame) -> DataFrame:
     """The rows of nodes in which more than one component is left, with the node's size."""
     sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("a"), F.max("label").alias("b")).where("a < b")
-    return rows.select("node", "rep", "label").join(sizes.select("node", "size"), "node")
-
-
-def _viable(docs: DataFrame, hot: DataFrame, brief: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of large nodes whose sets do not part, the rows that may still have a partner.
-
-    Shingles that no other set of these nodes has are private. They bound every intersection, and
-    exactly: copies of one text with many edits of their own, which are alike but not alike enough, go at once."""
-    ids = checkpointed(hot.select(F.col("rep").alias("id")).distinct())
-    sets = _full_sets(docs, ids, k).join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    alone = sets.select("doc_id", F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("doc_id").alias("rep")).where("c = 1")
-    private = alone.groupBy("rep").agg(F.count("*").alias("private"))
-    known = brief.join(ids.withColumnRenamed("id", "rep"), "rep", "left_semi").join(private, "rep", "left").withColumn("private", F.coalesce("private", F.lit(0)))
-    rows = hot.select("node", "rep", "label").join(checkpointed(known), "rep")
+    return rows.join(sizes.select("node", "size"), "node")
+
+
+def _viable(docs: DataFrame, hot: DataFrame, brief: DataFrame, k: int, percent: int, slack: float, rare: int) -> tuple[DataFrame, DataFrame]:
+    """Of large nodes whose sets do not part: the rows that may have a partner without a common rare shingle, and the pairs (u, v) with one.
+
+    Rare shingles are those that at most `rare` sets of these nodes have. Sets that share one are paired
+    by it, which makes few pairs. For all others the rare shingles bound the intersection, and exactly:
+    copies of one text with many edits of their own, alike but not alike enough, go at once."""
+    own = checkpointed(hot.select(F.col("rep").alias("doc_id"), "label").distinct())
+    sets = _full_sets(docs, own.select(F.col("doc_id").alias("id")), k).join(own.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    each = checkpointed(sets).select(F.col("doc_id").alias("rep"), F.explode("shingles").alias("h"))
+    few = each.groupBy("h").agg(F.count("*").alias("holders")).where(F.col("holders") <= rare)
+    scarce = checkpointed(each.join(few, "h"))
+    private = scarce.groupBy("rep").agg(F.count("*").alias("private"))
+    own = own.withColumnRenamed("doc_id", "rep")
+    known = checkpointed(brief.join(own, "rep").join(private, "rep", "left").withColumn("private", F.coalesce("private", F.lit(0))))
+
+    held = scarce.where("holders > 1").join(known.select("rep", "label", F.struct("n", "packed").alias("p")), "rep")
+    a = held.select("h", F.col("rep").alias("u"), F.col("label").alias("lu"), "p")
+    b = held.select("h", F.col("rep").alias("v"), F.col("label").alias("lv"), F.col("p").alias("q"))
+    sharing = a.join(b, "h").where((F.col("u") < F.col("v")) & (F.col("lu") != F.col("lv")) & _promising("p", "q", percent, slack)).select("u", "v").distinct()
+
+    known = known.drop("label")
+    rows = hot.select("node", "rep", "label").join(known, "rep")
     least = rows.groupBy("node").agg(F.min("n").alias("least"))
     # Intersection >= percent / (100 + percent) of both sizes together.
     partner = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
     rows = rows.join(least, "node").where((100 + percent) * (F.col("n") - F.col("private")) >= percent * (F.col("n") + partner))
     rows = checkpointed(rows.drop("least"))
-    return _mixed(rows).join(rows.select("node", "rep", "n", "packed", "private"), ["node", "rep"])
+    return _mixed(rows), sharing
 
 
 def _met(rows: DataFrame, percent: int, slack: float, block: int = 400) -> DataFrame:
@@ -211,7 +224,7 @@ def _met(rows: DataFrame, percent: int, slack: float, block: int = 400) -> DataF
     return a.join(b, key).where(met & bound & _promising("p", "q", percent, slack)).select("u", "v").distinct()
 
 
-def cluster(docs: DataFrame, *, k: int = 4, percent: int = 80, trees: int = 4, branches: int = 2, small: int = 40, depth: int = 4, rounds: int = 2, slack: float = 0.15) -> DataFrame:
+def cluster(docs: DataFrame, *, k: int = 4, percent: int = 80, trees: int = 4, branches: int = 2, small: int = 40, depth: int = 4, rounds: int = 3, leads: int = 8, tries: int = 4, rare: int = 24, slack: float = 0.12) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of `docs` (doc_id, text): links at `percent` % Jaccard similarity of shingles of `k` words."""
     every = checkpointed(sketches(docs, k))
     some = every.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
@@ -219,36 +232,49 @@ def cluster(docs: DataFrame, *, k: int = 4, percent: int = 80, trees: int = 4, b
 
     paths = F.array(*[F.xxhash64(F.lit(j), F.element_at("coords", j + 1)) for j in range(trees * branches)])
     top = reps.select("rep", F.explode(paths).alias("node"))
-    shared = top.groupBy("node").agg(F.count("*").alias("size")).where("size > 1").select("node")
+    shared = top.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
     rows = checkpointed(top.join(shared, "node"))
+    # Sets that share many values lie in the middle of their group, and so lead it best.
+    votes = rows.where(F.col("size") > small).select("rep").distinct().join(reps.select("rep", "coords"), "rep").select("rep", F.posexplode("coords").alias("c", "v"))
+    central = votes.join(votes.groupBy("c", "v").agg(F.count("*").alias("votes")).where("votes > 1"), ["c", "v"]).groupBy("rep").agg(F.sum("votes").alias("votes"))
+    rank = rows.groupBy("rep").agg(F.sum("size").alias("sizes")).join(central, "rep", "left").select("rep", F.coalesce("votes", "sizes").alias("rank"))
+    rows = checkpointed(rows.drop("size").join(rank, "rep"))
 
     brief = reps.select("rep", "n", "packed")  # joined where rows have met
-    links, labels = None, None
+    links, labels, tested = None, None, None
 
     def labelled(frame: DataFrame) -> DataFrame:
         if labels is None:
             return frame.withColumn("label", F.col("rep"))
         return frame.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
 
-    for r in range(rounds):
+    for r in range(rounds):  # join what is plainly one group, so that only pairs across components are left
         known = labelled(rows)
-        leads = known.groupBy("node").agg(F.min(F.struct(F.xxhash64(F.lit(r), "rep"), "rep", "label")).alias("x")).select("node", F.col("x.rep").alias("lead"), F.col("x.label").alias("lead_label"))
-        asked = known.join(leads, "node").where("label <> lead_label").select("lead", "rep").distinct()
-        asked = asked.join(brief.select("rep", F.struct("n", "packed").alias("p")), "rep").join(brief.select(F.col("rep").alias("lead"), F.struct("n", "packed").alias("q")), "lead")
-        asked = asked.where(_promising("p", "q", percent, slack)).groupBy("rep").agg(F.max(F.struct(_alike("p", "q"), "lead")).alias("x"))
-        found = _confirmed(docs, asked.select(F.least("rep", "x.lead").alias("u"), F.greatest("rep", "x.lead").alias("v")).distinct(), k, percent)
+        order = F.xxhash64(F.lit(r), "node", "rep")
+        least = [F.min(F.when(F.pmod(F.xxhash64(F.lit(r), "rep"), F.lit(leads)) == j, F.struct((-F.col("rank")).alias("rank"), order.alias("order"), "rep", "label"))) for j in range(leads)]
+        chosen = known.groupBy("node").agg(F.array_compact(F.array(*least)).alias("leads"))
+        other = F.filter("leads", lambda x: x["label"] != F.col("label"))
+        asked = known.join(chosen, "node").select("rep", F.explode(other).alias("x")).select(F.least("rep", "x.rep").alias("u"), F.greatest("rep", "x.rep").alias("v"), "rep").distinct()
+        if tested is not None:
+            asked = asked.join(tested, ["u", "v"], "left_anti")
+        asked = asked.join(brief.select(F.col("rep").alias("u"), F.struct("n", "packed").alias("p")), "u").join(brief.select(F.col("rep").alias("v"), F.struct("n", "packed").alias("q")), "v")
+        asked = asked.where(_promising("p", "q", percent, slack)).withColumn("alike", _alike("p", "q"))
+        nearest = F.row_number().over(Window.partitionBy("rep").orderBy(F.col("alike").desc(), "u", "v"))
+        pairs = checkpointed(asked.withColumn("nearest", nearest).where(F.col("nearest") <= (1 if r == 0 else tries)).select("u", "v").distinct())
+        tested = pairs if tested is None else tested.union(pairs)
+        found = _confirmed(docs, pairs, k, percent)
         links = found if links is None else checkpointed(links.union(found))
         labels = checkpointed(components(links).select(F.col("id").alias("rep"), F.col("root").alias("label")))
 
-    frontier, leaves, hot = checkpointed(labelled(rows).select("node", "rep", "label")), [], None
+    frontier, leaves, hot = checkpointed(labelled(rows).select("node", "rep", "label", F.lit(None).cast("long").alias("parent"))), [], []
     for level in range(depth):
         open_ = checkpointed(_mixed(frontier))
         leaves.append(open_.where(F.col("size") <= small))
-        large = open_.where(F.col("size") > small)
-        if large.isEmpty():
-            break
-        if level == depth - 1:
-            hot = large
+        # A node that kept half of its parent's sets is a group of likes, which more paths would only copy.
+        alike = F.coalesce(2 * F.col("size") >= F.col("parent"), F.lit(False)) | F.lit(level == depth - 1)
+        hot.append(open_.where((F.col("size") > small) & alike))
+        large = open_.where((F.col("size") > small) & ~alike)
+        if level == depth - 1 or large.isEmpty():
             break
         # The node chooses the coordinates; those of the first level are not used again.
         free = STORED - trees * branches
@@ -256,14 +282,13 @@ def cluster(docs: DataFrame, *, k: int = 4, percent: int = 80, trees: int = 4, b
         nexts = [first, *[F.pmod(first + 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit((free - 1) // max(1, branches - 1))) + F.lit(j * ((free - 1) // max(1, branches - 1))), F.lit(free)) for j in range(branches - 1)]]
         grown = large.join(reps.select("rep", "coords"), "rep")
         children = F.array(*[F.xxhash64("node", F.lit(7), c, F.element_at("coords", (c + trees * branches + 1).cast("int"))) for c in nexts])
-        frontier = checkpointed(grown.select("rep", "label", F.explode(children).alias("node")).select("node", "rep", "label"))
-    leaf = leaves[0]
-    for more in leaves[1:]:
-        leaf = leaf.union(more)
+        frontier = checkpointed(grown.select(F.explode(children).alias("node"), "rep", "label", F.col("size").alias("parent")))
+    leaf, warm = reduce(DataFrame.union, leaves), checkpointed(reduce(DataFrame.union, hot))
     leaf = leaf.join(brief, "rep").withColumn("private", F.lit(0))
     pairs = _met(leaf, percent, slack)
-    if hot is not None:
-        pairs = pairs.union(_met(_viable(docs, hot, brief, k, percent), percent, slack)).distinct()
+    if not warm.isEmpty():
+        viable, sharing = _viable(docs, warm, brief, k, percent, slack, rare)
+        pairs = pairs.union(_met(viable, percent, slack)).union(sharing).distinct()
     more = _confirmed(docs, pairs, k, percent)
     roots = components(links.union(more)).select(F.col("id").alias("rep"), "root")
 
