@@ -62,19 +62,18 @@ def classed_pairs(rows: DataFrame) -> DataFrame:
     rule 1: the left symbol is a bare marker; 2: the right one is, between words tagged pos_l and pos_r
     (pos_l null where the left token begins with an absorbed marker); 3: both lie in one word, tagged pos_l; 4: else.
     A token belongs to the word of its first character; words are counted by the markers before, bare or absorbed."""
-    pieces = (
-        "aggregate(t, struct(0 AS m, cast(array() AS array<struct<s:string,m:int>>) AS found), "
-        f"(acc, s) -> struct(acc.m + length(s) - length(replace(s, '{MARK}', '')) AS m, concat(acc.found, array(struct(s AS s, acc.m AS m))) AS found), acc -> acc.found)"
-    )
-    rows = rows.select("tags", tokens_of(F.col("seq")).alias("t")).where(F.size("t") > 1).select("tags", F.expr(pieces).alias("t"))
-    one = (
-        "transform(sequence(1, size(t) - 1), i -> struct(t[i - 1].s AS l, t[i].s AS r, "
-        f"CASE WHEN t[i - 1].s = '{MARK}' THEN 1 WHEN t[i].s = '{MARK}' THEN 2 "
-        f"WHEN NOT startswith(t[i - 1].s, '{MARK}') AND NOT startswith(t[i].s, '{MARK}') AND t[i - 1].m = t[i].m THEN 3 ELSE 4 END AS rule, "
-        f"CASE WHEN NOT startswith(t[i - 1].s, '{MARK}') AND (t[i].s = '{MARK}' OR (NOT startswith(t[i].s, '{MARK}') AND t[i - 1].m = t[i].m)) THEN tags[t[i - 1].m] END AS pos_l, "
-        f"CASE WHEN t[i].s = '{MARK}' AND NOT startswith(t[i - 1].s, '{MARK}') THEN tags[t[i].m + 1] END AS pos_r))"
-    )
-    return rows.select(F.explode(F.expr(one)).alias("x")).groupBy("x.l", "x.r", "x.rule", "x.pos_l", "x.pos_r").agg(F.count("*").alias("n"))
+    # The text between two markers lies in one word, so each border between symbols is given the number
+    # of the part it lies in before the symbols are parted; the work is linear in the paragraph.
+    borders = f"transform(split(substr(seq, 2), '{MARK}'), (part, k) -> replace(part, '{CLOSE}{OPEN}', concat('{CLOSE}', k, '␟{OPEN}')))"
+    rows = rows.select("tags", F.expr(f"split(array_join({borders}, '{MARK}'), '␟{OPEN}')").alias("u")).where(F.size("u") > 1)
+    pair = f"transform(sequence(1, size(u) - 1), i -> struct(substring_index(u[i - 1], '{CLOSE}', 1) AS l, substring_index(u[i], '{CLOSE}', 1) AS r, cast(substring_index(u[i - 1], '{CLOSE}', -1) AS int) AS k))"
+    rows = rows.select("tags", F.explode(F.expr(pair)).alias("x")).select("tags", "x.*").withColumn("ml", F.expr(f"length(l) - length(replace(l, '{MARK}', ''))"))
+    starts = lambda c: F.col(c).startswith(MARK)
+    rule = F.when(F.col("l") == MARK, 1).when(F.col("r") == MARK, 2).when(~starts("l") & ~starts("r") & (F.col("ml") == 0), 3).otherwise(4)
+    rows = rows.withColumn("rule", rule)
+    pos_l = F.when(F.col("rule").isin(2, 3) & ~starts("l"), F.get("tags", F.col("k") - F.col("ml")))
+    pos_r = F.when((F.col("rule") == 2) & ~starts("l"), F.get("tags", F.col("k") + 1))
+    return rows.groupBy("l", "r", "rule", pos_l.alias("pos_l"), pos_r.alias("pos_r")).agg(F.count("*").alias("n"))
 
 
 def weighted(classes: DataFrame, table: DataFrame, *, beta: int = 0, factor: int = 1000, content: tuple[str, ...] = (), unseen: int = 10_000) -> DataFrame:

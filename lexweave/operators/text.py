@@ -27,9 +27,9 @@ SUFFIXES = (
 INFLECTIONS = ("mente", "ing", "ed", "es", "en", "er", "s", "e")
 
 
-def upos(k: str, core: str) -> str:
-    """SQL (of either engine) for the tag of a word; `core` is the word without outer punctuation."""
-    low = f"lower({core})"
+def upos(k: str, core: str, low: str | None = None) -> str:
+    """SQL (of either engine) for the tag of a word; `core` is the word without outer punctuation, `low` that in lower case."""
+    low = low or f"lower({core})"
     cases = [f"WHEN {core} = '' THEN 'PUNCT'", f"WHEN {low} <> translate({low}, '0123456789', '') THEN 'NUM'"]
     cases += [f"WHEN {low} IN ({', '.join(map(repr, words))}) THEN '{tag}'" for tag, words in CLOSED.items()]
     for tag, ends in SUFFIXES:
@@ -40,9 +40,9 @@ def upos(k: str, core: str) -> str:
     return "CASE " + " ".join(cases) + " ELSE 'NOUN' END"
 
 
-def lemma(core: str) -> str:
+def lemma(core: str, low: str | None = None) -> str:
     """SQL for the lemma: the lower-cased core without its longest inflection, if three characters stay."""
-    low = f"lower({core})"
+    low = low or f"lower({core})"
     cases = [f"WHEN length({low}) >= {len(e) + 3} AND right({low}, {len(e)}) = '{e}' THEN left({low}, length({low}) - {len(e)})" for e in INFLECTIONS]
     return "CASE " + " ".join(cases) + f" ELSE {low} END"
 
@@ -84,8 +84,9 @@ def word_arrays(paras: DataFrame) -> DataFrame:
     """`paras` with words, and the tags and lemmas of the rule annotator, as arrays. No shuffle. [P4 M11]"""
     rows = paras.withColumn("words", F.split("text", " "))
     rows = rows.withColumn("cores", F.expr("transform(words, w -> " + CORE.format("w") + ")"))
-    rows = rows.withColumn("tags", F.expr("transform(cores, (c, k) -> " + upos("k", "c") + ")"))
-    return rows.withColumn("lemmas", F.expr("transform(cores, (c, k) -> " + lemma("c") + ")")).drop("cores")
+    rows = rows.withColumn("cores", F.expr("transform(cores, c -> struct(c AS core, lower(c) AS low))"))
+    rows = rows.withColumn("tags", F.expr("transform(cores, (c, k) -> " + upos("k", "c.core", "c.low") + ")"))
+    return rows.withColumn("lemmas", F.expr("transform(cores, (c, k) -> " + lemma("c.core", "c.low") + ")")).drop("cores")
 
 
 def word_offsets(paras: DataFrame) -> DataFrame:
@@ -100,8 +101,8 @@ def word_offsets(paras: DataFrame) -> DataFrame:
 
 def tagged_words(paras: DataFrame) -> DataFrame:
     """`word_offsets` with upos and lemma. [M11 S4]"""
-    rows = word_offsets(paras).withColumn("core", F.expr(CORE.format("surface")))
-    return rows.withColumn("upos", F.expr(upos("k", "core"))).withColumn("lemma", F.expr(lemma("core"))).drop("core")
+    rows = word_offsets(paras).withColumn("core", F.expr(CORE.format("surface"))).withColumn("low", F.lower("core"))
+    return rows.withColumn("upos", F.expr(upos("k", "core", "low"))).withColumn("lemma", F.expr(lemma("core", "low"))).drop("core", "low")
 
 
 def annotator_tokens(paras: DataFrame) -> DataFrame:

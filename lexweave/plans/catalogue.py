@@ -175,7 +175,7 @@ def word_initial_bpe_merges_k8(spark, d):
 
 
 def bpe_merges_batched(spark, d):
-    merges = bpe.batched(sequences(spark, d), 96)
+    merges = bpe.batched(sequences(spark, d), 32)
     return spark.createDataFrame([(k, *m) for k, m in enumerate(merges)], "rank long, l string, r string, n long")
 
 

@@ -6,8 +6,9 @@ from __future__ import annotations
 MERGES = (
     ("t", "h"), ("▁", "th"), ("o", "n"), ("i", "n"), ("e", "▁"), ("e", "r"), ("a", "n"), ("▁th", "e▁"), ("e", "n"), ("s", "▁"), ("in", "g"), ("▁", "a"),
     ("t", "i"), ("ti", "on"), (".", "▁"), ("d", "e"), ("c", "h"), ("n", "d"), ("e", "s"), ("o", "u"), ("▁", "d"), ("l", "e▁"), ("on", "▁"), ("r", "e"),
+    ("s▁", "a"), ("e▁", "th"), ("n", "▁"), ("on▁", "th"),
 )
-SEEDS, BUDGETS = (0, 1, 2), (8, 16, 24)
+SEEDS, BUDGETS = (0, 1, 2), (8, 16, 28)
 ANSWER_CUT = "c"
 
 
