@@ -235,7 +235,7 @@ def cluster(docs: DataFrame, *, k: int = 4, percent: int = 80, trees: int = 4, b
     shared = top.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
     rows = checkpointed(top.join(shared, "node"))
     # Sets that share many values lie in the middle of their group, and so lead it best.
-    votes = rows.where(F.col("size") > small).select("rep").distinct().join(reps.select("rep", "coords"), "rep").select("rep", F.posexplode("coords").alias("c", "v"))
+    votes = rows.where(F.col("size") > small).select("rep").distinct().join(reps.select("rep", "coords"), "rep").select("rep", F.posexplode(F.slice("coords", trees * branches + 1, 24)).alias("c", "v"))
     central = votes.join(votes.groupBy("c", "v").agg(F.count("*").alias("votes")).where("votes > 1"), ["c", "v"]).groupBy("rep").agg(F.sum("votes").alias("votes"))
     rank = rows.groupBy("rep").agg(F.sum("size").alias("sizes")).join(central, "rep", "left").select("rep", F.coalesce("votes", "sizes").alias("rank"))
     rows = checkpointed(rows.drop("size").join(rank, "rep"))
