@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import numpy as np
@@ -31,6 +32,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and checkpoints of steps that nothing refers to any more.
+
+    It does so when the driver's garbage is collected, which in a long driver program may be too late for the disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the third of the ids that no model may learn from: crc32(id as text) mod 3 = 1."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, sweep
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -32,6 +32,8 @@ def components(links: DataFrame, most_rounds: int = 60, rows_a_part: int = 100_0
         small = large.join(low, "v").select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b")).where("a <> b").coalesce(parts)
         edges = checkpointed(small.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct().coalesce(parts))
         after = _digest(edges)
+        del both, least, large, low, small
+        sweep(edges.sparkSession)
         if after == before:
             break
         before = after

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, in_pieces, mix, utf8, word_hashes
+from .common import checkpointed, in_pieces, mix, sweep, utf8, word_hashes
 from .components import components
 
 COORDINATES, STORED = 128, 64
@@ -163,6 +163,7 @@ def _promising(a: str, b: str, percent: int, slack: float) -> Column:
 def _confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets reach the threshold."""
     pairs = checkpointed(pairs)
+    sweep(docs.sparkSession)
     sets = checkpointed(_full_sets(docs, pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), k))
     one = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a")), "u")
     two = one.join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b")), "v")
@@ -239,6 +240,8 @@ def cluster(docs: DataFrame, *, k: int = 4, percent: int = 80, trees: int = 4, b
     central = votes.join(votes.groupBy("c", "v").agg(F.count("*").alias("votes")).where("votes > 1"), ["c", "v"]).groupBy("rep").agg(F.sum("votes").alias("votes"))
     rank = rows.groupBy("rep").agg(F.sum("size").alias("sizes")).join(central, "rep", "left").select("rep", F.coalesce("votes", "sizes").alias("rank"))
     rows = checkpointed(rows.drop("size").join(rank, "rep"))
+    del top, shared, votes, central, rank
+    sweep(docs.sparkSession)
 
     brief = reps.select("rep", "n", "packed")  # joined where rows have met
     links, labels, tested = None, None, None
@@ -265,6 +268,8 @@ def cluster(docs: DataFrame, *, k: int = 4, percent: int = 80, trees: int = 4, b
         found = _confirmed(docs, pairs, k, percent)
         links = found if links is None else checkpointed(links.union(found))
         labels = checkpointed(components(links).select(F.col("id").alias("rep"), F.col("root").alias("label")))
+        del known, chosen, asked, pairs, found
+        sweep(docs.sparkSession)
 
     frontier, leaves, hot = checkpointed(labelled(rows).select("node", "rep", "label", F.lit(None).cast("long").alias("parent"))), [], []
     for level in range(depth):
@@ -283,6 +288,8 @@ def cluster(docs: DataFrame, *, k: int = 4, percent: int = 80, trees: int = 4, b
         grown = large.join(reps.select("rep", "coords"), "rep")
         children = F.array(*[F.xxhash64("node", F.lit(7), c, F.element_at("coords", (c + trees * branches + 1).cast("int"))) for c in nexts])
         frontier = checkpointed(grown.select(F.explode(children).alias("node"), "rep", "label", F.col("size").alias("parent")))
+        del grown
+        sweep(docs.sparkSession)
     leaf, warm = reduce(DataFrame.union, leaves), checkpointed(reduce(DataFrame.union, hot))
     leaf = leaf.join(brief, "rep").withColumn("private", F.lit(0))
     pairs = _met(leaf, percent, slack)
