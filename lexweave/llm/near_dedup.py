@@ -187,13 +187,15 @@ def _viable(docs: DataFrame, hot: DataFrame, brief: DataFrame, k: int, percent:
     own = checkpointed(hot.select(F.col("rep").alias("doc_id"), "label").distinct())
     sets = _full_sets(docs, own.select(F.col("doc_id").alias("id")), k).join(own.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     each = checkpointed(sets).select(F.col("doc_id").alias("rep"), F.explode("shingles").alias("h"))
-    few = each.groupBy("h").agg(F.count("*").alias("holders")).where(F.col("holders") <= rare)
-    scarce = checkpointed(each.join(few, "h"))
-    private = scarce.groupBy("rep").agg(F.count("*").alias("private"))
+    # A shingle with one holder names it; only those with a few are joined back to theirs.
+    held_by = checkpointed(each.groupBy("h").agg(F.count("*").alias("holders"), F.min("rep").alias("one")).where(F.col("holders") <= rare))
+    scarce = checkpointed(each.join(held_by.where("holders > 1").select("h"), "h"))
+    counts = held_by.where("holders = 1").groupBy(F.col("one").alias("rep")).agg(F.count("*").alias("c")).union(scarce.groupBy("rep").agg(F.count("*").alias("c")))
+    private = counts.groupBy("rep").agg(F.sum("c").alias("private"))
     own = own.withColumnRenamed("doc_id", "rep")
     known = checkpointed(brief.join(own, "rep").join(private, "rep", "left").withColumn("private", F.coalesce("private", F.lit(0))))
 
-    held = scarce.where("holders > 1").join(known.select("rep", "label", F.struct("n", "packed").alias("p")), "rep")
+    held = scarce.join(known.select("rep", "label", F.struct("n", "packed").alias("p")), "rep")
     a = held.select("h", F.col("rep").alias("u"), F.col("label").alias("lu"), "p")
     b = held.select("h", F.col("rep").alias("v"), F.col("label").alias("lv"), F.col("p").alias("q"))
     sharing = a.join(b, "h").where((F.col("u") < F.col("v")) & (F.col("lu") != F.col("lv")) & _promising("p", "q", percent, slack)).select("u", "v").distinct()
