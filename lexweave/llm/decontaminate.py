@@ -66,6 +66,116 @@ def edit_distance(item: str, text: str) -> int:
     return best
 
 
+def edit_distances(pairs: list[tuple[str, str]]) -> list[int]:
+    """`edit_distance` of each (item, text), many side by side: one word of 64 rows after the other."""
+    out = [0] * len(pairs)
+    todo = [n for n, (item, text) in enumerate(pairs) if item not in text]
+    for n in todo:
+        out[n] = len(pairs[n][0])
+    todo = sorted((n for n in todo if pairs[n][1]), key=lambda n: (-(-len(pairs[n][0]) // 64), len(pairs[n][1])))
+    one, at = np.uint64(1), 0
+    while at < len(todo):
+        blocks, end = -(-len(pairs[todo[at]][0]) // 64), at + 1
+        while end < len(todo) and end - at < 2000 and -(-len(pairs[todo[end]][0]) // 64) == blocks:
+            end += 1
+        some, at = todo[at:end], end
+        if len(some) < 40:
+            for n in some:
+                out[n] = edit_distance(*pairs[n])
+            continue
+        codes = np.zeros((max(len(pairs[n][1]) for n in some), len(some)), np.int64)
+        masks, known, rows = [[0] * blocks], {}, 1
+        for c, n in enumerate(some):
+            item, text = pairs[n]
+            if item not in known:
+                where: dict[str, int] = {}
+                for i, x in enumerate(item):
+                    where[x] = where.get(x, 0) | 1 << i
+                known[item] = (np.array(sorted(map(ord, where)), np.uint32), rows)
+                masks += [[where[x] >> 64 * b & (1 << 64) - 1 for b in range(blocks)] for x in sorted(where)]
+                rows += len(where)
+            alphabet, base = known[item]
+            code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            found = np.minimum(np.searchsorted(alphabet, code), len(alphabet) - 1)
+            codes[: len(code), c] = np.where(alphabet[found] == code, base + found, 0)
+        table = np.array(masks, np.uint64).T.copy()
+        size = np.array([len(pairs[n][0]) for n in some])
+        last = ((size - 1) % 64).astype(np.uint64)
+        up = np.full((blocks, len(some)), ~np.uint64(0))
+        down = np.zeros_like(up)
+        score, best = size.copy(), size.copy()
+        for code in codes:
+            plus_in = minus_in = np.zeros(len(some), np.uint64)
+            for b in range(blocks):
+                u, d, eq = up[b], down[b], table[b][code]
+                vertical = eq | d
+                eq |= minus_in
+                horizontal = (((eq & u) + u) ^ u) | eq
+                plus, minus = d | ~(horizontal | u), u & horizontal
+                top = last if b == blocks - 1 else np.uint64(63)
+                plus_out, minus_out = plus >> top & one, minus >> top & one
+                plus, minus = plus << one | plus_in, minus << one | minus_in
+                up[b], down[b] = minus | ~(vertical | plus), plus & vertical
+                plus_in, minus_in = plus_out, minus_out
+            score += plus_in.astype(np.int64) - minus_in.astype(np.int64)
+            np.minimum(best, score, out=best)
+        for n, e in zip(some, best.tolist(), strict=True):
+            out[n] = e
+    return out
+
+
+class Grams:
+    """Where the byte grams of some items stand, read at every byte of a text.
+
+    A copy within the tolerance keeps many grams of its item near one diagonal. For items under 40
+    bytes, grams of four and the number that any such edits must leave: none is missed. Longer ones
+    need grams of six or eight on a small share of their places."""
+
+    def __init__(self, q: int, texts: list[bytes], plain: list[str], mine: np.ndarray, tolerance: float):
+        self.q, self.mine = q, mine
+        size = np.array([len(texts[i]) for i in mine], np.int64)
+        edits = np.array([int(tolerance * len(plain[i])) for i in mine], np.int64)
+        wide = np.array([max((len(c.encode("utf-8", "replace")) for c in set(plain[i])), default=1) for i in mine], np.int64)
+        lemma = np.maximum(1, size - q + 1 - edits * (q - 1 + wide))
+        share = np.maximum(2, (size * (0.06 if q == 8 else 0.08)).astype(np.int64))
+        self.need = lemma if q == 4 else np.where(lemma > 2, np.minimum(lemma, share), share)
+        self.size, self.slack = size, np.maximum(8, edits * wide)
+        n = np.maximum(0, size - q + 1)
+        raw = np.frombuffer(b"\0".join(texts[i] for i in mine) + b"\0" * 9, np.uint8)
+        begin = np.cumsum(size + 1) - size - 1
+        self.item = np.repeat(np.arange(len(mine)), n)
+        self.offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        key = self.read(raw)[begin[self.item] + self.offset]
+        order = np.argsort(key, kind="stable")
+        self.key, self.item, self.offset = key[order], self.item[order], self.offset[order]
+        self.seen = np.zeros(1 << 22, bool)
+        self.seen[(self.key * _SPREAD) >> np.uint64(42)] = True
+
+    def read(self, raw: np.ndarray) -> np.ndarray:
+        """The gram that starts at each byte but the last eight."""
+        return np.ndarray((len(raw) - 8,), "<u8", raw, 0, (1,)) & np.uint64((1 << 8 * self.q) - 1)
+
+    def meet(self, raw: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item number, first and last byte) of each part of the text with enough grams of an item."""
+        gram = self.read(raw)
+        place = np.flatnonzero(self.seen[(gram * _SPREAD) >> np.uint64(42)])
+        low, high = np.searchsorted(self.key, gram[place], "left"), np.searchsorted(self.key, gram[place], "right")
+        n = high - low
+        ends = np.cumsum(n)
+        which = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(low, n)
+        item = self.item[which]
+        slack = self.slack[item]
+        diagonal = np.repeat(place, n) - self.offset[which] + (1 << 20)
+        found: set[tuple[int, int, int]] = set()
+        for shift in (0, 1):
+            key, count = np.unique(item << 32 | (diagonal + shift * slack) // (2 * slack), return_counts=True)
+            of = key >> 32
+            key, of = key[count >= self.need[of]], of[count >= self.need[of]]
+            first = (key & 0xFFFFFFFF) * 2 * self.slack[of] - shift * self.slack[of] - (1 << 20)
+            found.update(zip(self.mine[of].tolist(), (first - self.slack[of]).tolist(), (first + 3 * self.slack[of] + self.size[of]).tolist(), strict=True))
+        yield from found
+
+
 class Walk:
     """One CGK table with its sampled steps, and the hashes of the windows of some items."""
 
@@ -149,6 +259,8 @@ class Index:
                 walk.learn(raw, chosen)
                 made.append(walk)
             self.classes.append((stride if steps == LONG else 1, made, doc[mine], chosen - begin[doc[mine]]))
+        q_of = np.where(length >= 80, 8, np.where(length >= 40, 6, 4))
+        self.grams = [Grams(q, self.texts, self.plain, np.flatnonzero(q_of == q), tolerance) for q in sorted(set(q_of.tolist()))]
 
     def leaks(self, texts: list[bytes]) -> Iterator[tuple[int, int, int]]:
         """(text number, item number, edit distance) for each text and item that it holds."""
@@ -156,7 +268,7 @@ class Index:
             return
         raw, start, doc, word = _joined(texts)
         begin = np.cumsum([0, *(len(t) + 1 for t in texts)])[: len(texts)]
-        places: dict[tuple[int, int], set[int]] = {}
+        parts: dict[tuple[int, int], set[tuple[int, int]]] = {}
         for stride, walks, item_of, offset in self.classes:
             mine = word % stride == 0
             at, own = start[mine], doc[mine]
@@ -164,20 +276,37 @@ class Index:
                 s, w = walk.meet(raw, at)
                 where = at[s] - begin[own[s]] - offset[w]
                 for d, i, p in {*zip(own[s].tolist(), item_of[w].tolist(), (where // 32).tolist(), strict=True)}:
-                    places.setdefault((d, i), set()).add(p)
-        for (d, i), at in sorted(places.items()):
-            item, most = self.plain[i], int(self.tolerance * len(self.plain[i]))
-            wide, slack, best = len(self.texts[i]), int(self.tolerance * len(self.texts[i])) + 4, most + 1
-            for p in sorted(at):
-                part = texts[d][max(0, p * 32 - slack) : max(0, p * 32 + 32 + wide + slack)].decode("utf-8", "ignore")
-                best = min(best, edit_distance(item, part))
-                if not best:
-                    break
-            if best <= most:
-                yield d, i, best
-
-
-def _pieces(texts: list[bytes], most: int = 2 << 20):
+                    wide, slack = len(self.texts[i]), int(self.tolerance * len(self.texts[i])) + 4
+                    parts.setdefault((d, i), set()).add((max(0, p * 32 - slack), p * 32 + 32 + wide + slack))
+        padded = np.concatenate((raw, np.zeros(9, np.uint8)))
+        for grams in self.grams:
+            for i, a, b in grams.meet(padded):
+                for d in range(max(0, int(np.searchsorted(begin, a, "right")) - 1), int(np.searchsorted(begin, b, "left"))):
+                    low, high = max(0, a - int(begin[d])), min(b - int(begin[d]), len(texts[d]))
+                    if high - low >= len(self.plain[i]) - int(self.tolerance * len(self.plain[i])):
+                        parts.setdefault((d, i), set()).add((low, high))
+        best: dict[tuple[int, int], int] = {}
+        todo = []
+        for (d, i), some in parts.items():
+            if self.texts[i] in texts[d]:
+                best[d, i] = 0
+                continue
+            end = -1
+            for a, b in sorted(some):  # overlapping parts are read once
+                if a < end and b - todo[-1][2] <= 3 * len(self.texts[i]):
+                    todo[-1] = (d, i, todo[-1][2], max(end, b))
+                else:
+                    todo.append((d, i, a, b))
+                end = todo[-1][3]
+        far = edit_distances([(self.plain[i], texts[d][a:b].decode("utf-8", "ignore")) for d, i, a, b in todo])
+        for (d, i, _, _), e in zip(todo, far, strict=True):
+            if e <= int(self.tolerance * len(self.plain[i])):
+                best[d, i] = min(best.get((d, i), e), e)
+        for (d, i), e in sorted(best.items()):
+            yield d, i, e
+
+
+def _pieces(texts: list[bytes], most: int = 6 << 20):
     at, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t)

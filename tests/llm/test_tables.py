@@ -225,6 +225,29 @@ def test_decontamination_edges(spark):
     assert decontaminate.find(docs, items.limit(0)).count() == 0 and decontaminate.find(docs.limit(0), items).count() == 0
 
 
+def test_exact_copies_are_found_at_every_word_offset():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvwz") for _ in range(rng.randrange(8, 15)))
+    for least in (48, 55, 65, 80):
+        items = []
+        for _ in range(30):
+            item = word()
+            while len(item) < least:
+                item += " " + word()
+            items.append(item)
+        index = decontaminate.Index(list(enumerate(items)))
+        for before in range(4):
+            texts = [" ".join([word() for _ in range(before)] + [item, word()]).encode() for item in items]
+            assert {(d, i) for d, i, e in index.leaks(texts) if not e} >= {(i, i) for i in range(30)}
+
+
+def test_many_edit_distances_equal_one_by_one():
+    rng = random.Random(10)
+    some = lambda n: "".join(rng.choice("abc\u00e9\u4e2d") for _ in range(n))
+    pairs = [(some(rng.randrange(1, 200)), some(rng.randrange(0, 250))) for _ in range(400)]
+    assert decontaminate.edit_distances(pairs) == [decontaminate.edit_distance(*p) for p in pairs]
+
+
 # ----------------------------------------------------------- personal data
 
 PATTERNS = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
