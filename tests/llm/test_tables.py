@@ -241,6 +241,23 @@ def test_exact_copies_are_found_at_every_word_offset():
             assert {(d, i) for d, i, e in index.leaks(texts) if not e} >= {(i, i) for i in range(30)}
 
 
+def test_copies_near_the_tolerance_are_found():
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdeghilmnoprstu") for _ in range(rng.randrange(2, 9)))
+    items = [" ".join(word() for _ in range(n)) for n in (9, 12, 20, 30, 45, 60) for _ in range(6)]
+    index, hits, tried = decontaminate.Index(list(enumerate(items))), 0, 0
+    while tried < 200:
+        i = rng.randrange(len(items))
+        text = list(items[i])
+        for _ in range(int(rng.uniform(0.15, 0.25) * len(text))):
+            text[rng.randrange(len(text))] = rng.choice(["", "x", "yz"])
+        document = decontaminate.normalised("Some words before " + "".join(text) + " and some after")
+        if 0.15 * len(items[i]) <= decontaminate.edit_distance(items[i], document.decode()) <= int(0.2 * len(items[i])):
+            tried += 1
+            hits += any(k == i for _, k, _ in index.leaks([document]))
+    assert hits >= 0.98 * tried
+
+
 def test_many_edit_distances_equal_one_by_one():
     rng = random.Random(10)
     some = lambda n: "".join(rng.choice("abc\u00e9\u4e2d") for _ in range(n))
