@@ -12,12 +12,18 @@ several windows that may meet. Where two hashes meet, the whole item is aligned
 around that place, and the pair counts if the exact edit distance is at most `tolerance` of the
 item's length.
 
+Beside the walks, every byte of a document is looked up as the start of a gram of four, six or eight
+bytes (by the item's length). Enough grams of an item near one diagonal also make the item be aligned
+there. This finds every exact copy of `LEAST` bytes or more, in scripts without spaces too, at any
+place and alignment. Recall near the tolerance is aimed at 0.98; the README has what was measured.
+
 Texts are compared in lower case, with all but letters and digits as single spaces. Documents are read in one pass without a
 shuffle; items go to the readers in blocks of at most `block_items`, and there are as many passages
 over the documents as blocks.
 
 Defined results: null, empty and blank texts leak nothing; items of fewer than `LEAST` normalised
-characters are no evidence and find nothing; equal items are found each; repeated documents are
+bytes are found where they stand exactly, as whole words, if they have `least` bytes (by default none are searched,
+the query and the pipeline search all); equal items are found each; repeated documents are
 reported each; an empty benchmark leaks nothing; other columns are ignored.
 """
 
@@ -124,6 +130,47 @@ def edit_distances(pairs: list[tuple[str, str]]) -> list[int]:
     return out
 
 
+def _edges(raw: np.ndarray) -> np.ndarray:
+    """Where a word may begin or end: at gaps, and around each character of scripts that may go without."""
+    gap = (raw == 32) | (raw == 0)
+    edge = gap.copy()
+    edge[1:] |= gap[:-1]
+    edge[0] = True
+    for low, high, size in ((0xC2, 0xC2, 2), (0xE0, 0xEF, 3), (0xF0, 0xFF, 4)):
+        wide = (raw >= low) & (raw <= high)
+        edge |= wide
+        edge[size:] |= wide[:-size]
+    return edge
+
+
+class Short:
+    """Items of up to 15 bytes, which are found where they stand exactly, as whole words."""
+
+    def __init__(self, texts: list[bytes]):
+        self.of: dict[bytes, list[int]] = {}
+        for i, t in enumerate(texts):
+            self.of.setdefault(t, []).append(i)
+        self.keys = {n: np.sort(self.read(np.frombuffer(b"".join(t + b"\0" * 16 for t in self.of if len(t) == n) + b"\0" * 16, np.uint8), n)[:: n + 16]) for n in {len(t) for t in self.of}}
+
+    @staticmethod
+    def read(raw: np.ndarray, n: int) -> np.ndarray:
+        """A hash of the n bytes from each byte but the last 16."""
+        low = np.ndarray((len(raw) - 16,), "<u8", raw, 0, (1,)) & np.uint64((1 << 8 * min(n, 8)) - 1)
+        high = np.ndarray((len(raw) - 16,), "<u8", raw, 8, (1,)) & np.uint64((1 << 8 * max(n - 8, 0)) - 1)
+        return (low * _SPREAD) ^ (high * _MULT)
+
+    def meet(self, raw: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(item number, first byte) of all that stand in the text, which ends in 16 zeros."""
+        edge = _edges(raw)
+        for n, keys in self.keys.items():
+            gram = self.read(raw, n)
+            place = np.flatnonzero(edge[: len(gram)] & edge[n : len(gram) + n])
+            at = np.minimum(np.searchsorted(keys, gram[place]), len(keys) - 1)
+            for p in place[keys[at] == gram[place]].tolist():
+                for i in self.of.get(raw[p : p + n].tobytes(), ()):
+                    yield i, p
+
+
 class Grams:
     """Where the byte grams of some items stand, read at every byte of a text.
 
@@ -240,8 +287,10 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 class Index:
     """The windows of some items."""
 
-    def __init__(self, items: list[tuple], *, walks: int = 5, samples: int = 12, tolerance: float = 0.2, stride: int = 3, seed: int = 17):
-        kept = [(i, t) for i, t in ((i, normalised(t)) for i, t in items) if len(t) >= LEAST]
+    def __init__(self, items: list[tuple], *, walks: int = 5, samples: int = 12, tolerance: float = 0.2, stride: int = 3, seed: int = 17, least: int = LEAST):
+        usable = [(i, normalised(t)) for i, t in items]
+        kept = [(i, t) for i, t in usable if len(t) >= LEAST]
+        brief = [(i, t) for i, t in usable if max(1, least) <= len(t) < LEAST]
         self.ids, self.texts, self.tolerance = [i for i, _ in kept], [t for _, t in kept], tolerance
         self.plain = [t.decode("utf-8", "replace") for t in self.texts]
         self.classes = []
@@ -261,6 +310,8 @@ class Index:
             self.classes.append((stride if steps == LONG else 1, made, doc[mine], chosen - begin[doc[mine]]))
         q_of = np.where(length >= 80, 8, np.where(length >= 40, 6, 4))
         self.grams = [Grams(q, self.texts, self.plain, np.flatnonzero(q_of == q), tolerance) for q in sorted(set(q_of.tolist()))]
+        self.short = Short([t for _, t in brief]) if brief else None
+        self.ids = self.ids + [i for i, _ in brief]
 
     def leaks(self, texts: list[bytes]) -> Iterator[tuple[int, int, int]]:
         """(text number, item number, edit distance) for each text and item that it holds."""
@@ -278,7 +329,7 @@ class Index:
                 for d, i, p in {*zip(own[s].tolist(), item_of[w].tolist(), (where // 32).tolist(), strict=True)}:
                     wide, slack = len(self.texts[i]), int(self.tolerance * len(self.texts[i])) + 4
                     parts.setdefault((d, i), set()).add((max(0, p * 32 - slack), p * 32 + 32 + wide + slack))
-        padded = np.concatenate((raw, np.zeros(9, np.uint8)))
+        padded = np.concatenate((raw, np.zeros(16, np.uint8)))
         for grams in self.grams:
             for i, a, b in grams.meet(padded):
                 for d in range(max(0, int(np.searchsorted(begin, a, "right")) - 1), int(np.searchsorted(begin, b, "left"))):
@@ -286,6 +337,8 @@ class Index:
                     if high - low >= len(self.plain[i]) - int(self.tolerance * len(self.plain[i])):
                         parts.setdefault((d, i), set()).add((low, high))
         best: dict[tuple[int, int], int] = {}
+        for i, p in self.short.meet(padded) if self.short else ():
+            best[int(np.searchsorted(begin, p, "right")) - 1, len(self.texts) + i] = 0
         todo = []
         for (d, i), some in parts.items():
             if self.texts[i] in texts[d]:

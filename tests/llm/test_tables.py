@@ -265,6 +265,15 @@ def test_many_edit_distances_equal_one_by_one():
     assert decontaminate.edit_distances(pairs) == [decontaminate.edit_distance(*p) for p in pairs]
 
 
+def test_short_items_and_scripts_without_spaces():
+    long = "\u6211\u4eec\u5728\u5317\u4eac\u7684\u56fe\u4e66\u9986\u91cc\u8bfb\u4e86\u5f88\u591a\u5173\u4e8e\u5386\u53f2\u548c\u54f2\u5b66\u7684\u4e66\u5e76\u4e14\u5199\u4e0b\u4e86\u7b14\u8bb0"
+    items = [(1, long), (2, "tiny"), (3, "two words"), (4, "\u56fe\u4e66\u9986"), (5, "")]
+    texts = ["\u6628\u5929\u4e0b\u5348" + long + "\u7136\u540e\u56de\u5bb6", "A tiny thing", "\u201ctiny\u201d", "tinyness two wordsmiths", "Here: two  words!", "", "\u8fd9\u4e2a\u56fe\u4e66\u9986\u5f88\u5927"]
+    index = decontaminate.Index(items, least=1)
+    found = {(d, index.ids[i]) for d, i, e in index.leaks([decontaminate.normalised(t) for t in texts]) if not e}
+    assert found == {(0, 1), (0, 4), (1, 2), (2, 2), (4, 3), (6, 4)}
+
+
 # ----------------------------------------------------------- personal data
 
 PATTERNS = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
