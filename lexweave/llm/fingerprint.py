@@ -9,7 +9,7 @@ subtracting its vector.
 Components: `DENSE` full 64-bit ones, which decide equality; the number of paragraphs; and `LEVELS`
 times `LANES` sparse 16-bit ones. A paragraph is non-zero in one lane of level 0, and with
 probability 2**-j also in one lane of level j. The share of equal lanes tells how many paragraphs
-differ, few at level 0 and many at the last level; `likeness` takes the likeliest number and turns it
+differ, few at level 0 and many at the last level, up to some 2**28 of them; `likeness` takes the likeliest number and turns it
 into a Jaccard similarity of the two multisets.
 
 Defined results: null is the empty text, whose fingerprint is all zeros; equal fingerprints have
@@ -28,9 +28,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DENSE, LEVELS, LANES = 8, 6, 16
+DENSE, LEVELS, LANES = 8, 24, 16
 #: Numbers of differing paragraphs, and for each and every level the log chances that a lane is equal or not.
-_DIFFER = np.unique(np.round(np.geomspace(1, 1 << 22, 160)))
+_DIFFER = np.unique(np.round(np.geomspace(1, 1 << 33, 240)))
 _CHANCE = np.exp(-_DIFFER[:, None] / (LANES * 2.0 ** np.arange(LEVELS)))
 _SAME, _OTHER = np.log(np.maximum(_CHANCE, 1e-300)), np.log(np.maximum(1 - _CHANCE, 1e-300))
 _CUT = re.compile(r"(?<=\n)|(?<=[.!?])(?= )")
@@ -70,7 +70,9 @@ class Hash:
             inside = (depth & np.uint64((1 << level) - 1)) == 0
             if not inside.any():
                 break
-            lane = ((spread[inside] >> np.uint64(8 * level)) & np.uint64(LANES - 1)).astype(np.int64)
+            # Four bits a level, 16 levels a word.
+            word = spread if level < 16 else raw[:, 3]
+            lane = ((word[inside] >> np.uint64(4 * (level % 16))) & np.uint64(LANES - 1)).astype(np.int64)
             change[level * LANES : (level + 1) * LANES] = np.bincount(lane, value[inside].astype(float), LANES)
         self.lanes = (self.lanes.astype(np.int64) + sign * change.astype(np.int64)).astype(np.uint16)
         return self

@@ -168,6 +168,13 @@ def test_fingerprint_edges(spark):
     assert fingerprint.with_next(ties).count() == 3
 
 
+def test_likeness_of_very_long_texts():
+    for n in (4_000, 16_000, 100_000):
+        base, other = ([f"{side} {n} {i}" for i in range(n // 4)] for side in ("old", "new"))
+        same = fingerprint.Hash().add([f"kept {n} {i}" for i in range(n - n // 4)])
+        assert abs(fingerprint.likeness(same.copy().add(base), same.copy().add(other)) - 0.6) < 0.2
+
+
 # --------------------------------------------------------- decontamination
 
 
