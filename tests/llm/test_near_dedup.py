@@ -1,7 +1,9 @@
 """Near duplicates against a brute-force join, and components against union-find."""
 
+import inspect
 import random
 import re
+from math import comb
 
 import pytest
 
@@ -110,3 +112,13 @@ def test_components(spark):
     found = components(spark.createDataFrame(pairs, "u long, v long")).collect()
     assert {r["id"]: r["root"] for r in found} == {x: find(x) for x in root} and len(found) == len(root)
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_sketch_seldom_refuses_a_pair_at_the_threshold(spark):
+    slack = inspect.signature(near_dedup.cluster).parameters["slack"].default
+    rows = [(d, 0, [0] * 8, [sum(1 << 4 * b for b in range(16) if 16 * w + b < d) for w in range(8)]) for d in range(0, 129)]
+    pairs = spark.createDataFrame(rows, "d int, x int, p array<long>, q array<long>")
+    pairs = pairs.selectExpr("d", "struct(100L AS n, p AS packed) AS p", "struct(100L AS n, q AS packed) AS q")
+    most = max(r["d"] for r in pairs.where(near_dedup._promising("p", "q", 80, slack)).collect())
+    chance = 0.2 * 15 / 16
+    assert sum(comb(128, d) * chance**d * (1 - chance) ** (128 - d) for d in range(most + 1, 129)) < 1e-5
