@@ -41,6 +41,10 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_train_grid_has_every_seed(spark):
+    assert {r["seed"] for r in QUERIES["train_grid"](spark, SF).select("seed").distinct().collect()} == {0, 1, 2}
+
+
 def test_rows_only_queries(spark):
     assert QUERIES["unigram_em"](spark, SF).count() > 100
     assert QUERIES["train_grid"](spark, SF).count() > 1000
