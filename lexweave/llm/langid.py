@@ -2,10 +2,12 @@
 
 Each language has a raw-content zstandard dictionary cut from a bounded sample of its texts. A text
 is compressed with every dictionary, piece by piece so that the dictionary keeps its worth to the
-end of a long text, and the language whose dictionary leaves the fewest bytes wins. A text is
-rejected when the runner-up needs hardly more.
+end of a long text, and the language whose dictionaries leave the fewest bytes wins. A text is
+rejected when the runner-up needs hardly more: the margin lies well under those of known texts
+(1st percentile 0.05 on held-out documents) and over those of most random letters (median 0.002).
 
-Defined results: a null text, or one without a letter, is `und` with score 0 and rejected; equal
+Defined results: an empty table gives no rows and teaches nothing; repeated rows are judged each and
+learnt from alike; other columns are kept, but for those named like the results, which win; a null text, or one without a letter, is `und` with score 0 and rejected; equal
 sizes go to the language that sorts first; with no learnt language every row is `und`; null
 languages teach nothing; a language whose samples are all empty is not learnt.
 """
@@ -43,17 +45,18 @@ class Model:
     dictionaries: tuple[tuple[bytes, ...], ...]
     piece: int = 4096
     level: int = 5
-    margin: float = 0.001
+    margin: float = 0.012
     sharpness: float = 0.25
 
 
-def learn(docs: DataFrame, *, most_docs: int = 240, per_doc: int = 1500, parts: int = 2, seed: int = 11, **options) -> Model:
+def learn(docs: DataFrame, *, most_docs: int = 240, per_doc: int = 1500, parts: int = 2, most_languages: int = 200, seed: int = 11, **options) -> Model:
     """Dictionaries from `docs` (doc_id, text, lang).
 
     The sample is about `most_docs` texts a language, chosen by a seeded hash of doc_id, of which at
-    most `per_doc` characters go into one of `parts` dictionaries."""
+    most `per_doc` characters go into one of `parts` dictionaries. The `most_languages` values of lang
+    with the most texts are learnt, so stray values cannot swell the model."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(most_languages).collect()}
     if not counts:
         return Model((), (), **options)
     limit = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, most_docs / n))])[F.col("lang")]
@@ -96,14 +99,7 @@ class Judge:
         if len(pieces) > 1 and len(pieces[-1]) < step // 4:
             last = pieces.pop()
             pieces[-1] += last
-        # Long texts are told apart by any dictionary: each piece takes its turn.
-        out = np.empty(len(self.by_language))
-        for k, made in enumerate(self.by_language):
-            if len(pieces) == 1:
-                out[k] = sum(len(c.compress(pieces[0])) for c in made) / len(made)
-            else:
-                out[k] = sum(len(made[i % len(made)].compress(p)) for i, p in enumerate(pieces))
-        return out
+        return np.array([sum(len(c.compress(p)) for p in pieces for c in made) / len(made) for made in self.by_language])
 
     def of(self, text) -> tuple[str, float, float]:
         """Language, score, and margin: by how much the runner-up is larger."""
