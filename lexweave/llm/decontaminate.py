@@ -29,8 +29,9 @@ reported each; an empty benchmark leaks nothing; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -39,7 +40,22 @@ from pyspark.sql import functions as F
 
 LEAST, LONG = 16, 72
 _TABLE = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else 32 for c in range(256))
-_MULT, _SPREAD, _TOP = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15), np.uint64(44)
+_MULT, _SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of documents that are read at once, and alignments that are made side by side.
+PART, ALIGNED = 512_000, 4000
+
+
+class Seen:
+    """A bit for each of some hashes, in a table of about 16 places a hash."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = min(24, max(12, int(16 * len(keys)).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        self.table = np.zeros(1 << bits, bool)
+        self.table[(keys * _SPREAD) >> self.shift] = True
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        return self.table[(keys * _SPREAD) >> self.shift]
 
 
 def normalised(text) -> bytes:
@@ -147,6 +163,7 @@ class Short:
     """Items of up to 15 bytes, which are found where they stand exactly, as whole words."""
 
     def __init__(self, texts: list[bytes]):
+        self.texts = texts
         self.of: dict[bytes, list[int]] = {}
         for i, t in enumerate(texts):
             self.of.setdefault(t, []).append(i)
@@ -195,17 +212,16 @@ class Grams:
         key = self.read(raw)[begin[self.item] + self.offset]
         order = np.argsort(key, kind="stable")
         self.key, self.item, self.offset = key[order], self.item[order], self.offset[order]
-        self.seen = np.zeros(1 << 22, bool)
-        self.seen[(self.key * _SPREAD) >> np.uint64(42)] = True
+        self.seen = Seen(self.key)
 
     def read(self, raw: np.ndarray) -> np.ndarray:
         """The gram that starts at each byte but the last eight."""
         return np.ndarray((len(raw) - 8,), "<u8", raw, 0, (1,)) & np.uint64((1 << 8 * self.q) - 1)
 
-    def meet(self, raw: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    def meet(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(item number, first and last byte) of each part of the text with enough grams of an item."""
         gram = self.read(raw)
-        place = np.flatnonzero(self.seen[(gram * _SPREAD) >> np.uint64(42)])
+        place = np.flatnonzero(self.seen(gram))
         low, high = np.searchsorted(self.key, gram[place], "left"), np.searchsorted(self.key, gram[place], "right")
         n = high - low
         ends = np.cumsum(n)
@@ -213,14 +229,14 @@ class Grams:
         item = self.item[which]
         slack = self.slack[item]
         diagonal = np.repeat(place, n) - self.offset[which] + (1 << 20)
-        found: set[tuple[int, int, int]] = set()
+        found = []
         for shift in (0, 1):
             key, count = np.unique(item << 32 | (diagonal + shift * slack) // (2 * slack), return_counts=True)
             of = key >> 32
             key, of = key[count >= self.need[of]], of[count >= self.need[of]]
             first = (key & 0xFFFFFFFF) * 2 * self.slack[of] - shift * self.slack[of] - (1 << 20)
-            found.update(zip(self.mine[of].tolist(), (first - self.slack[of]).tolist(), (first + 3 * self.slack[of] + self.size[of]).tolist(), strict=True))
-        yield from found
+            found.append((self.mine[of], first - self.slack[of], first + 3 * self.slack[of] + self.size[of]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 class Walk:
@@ -231,7 +247,7 @@ class Walk:
         self.table = rng.integers(0, 2, (steps, 256), dtype=np.int64)
         self.table[:, 0] = 0  # the end of a text holds the pointer
         self.samples = np.sort(rng.choice(steps, min(samples, steps), replace=False))
-        self.seen: list[np.ndarray] = []
+        self.seen: list[Seen] = []
         self.keys = self.owner = np.empty(0, np.uint64)
 
     def hashes(self, text: np.ndarray, starts: np.ndarray, prune: bool) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -243,7 +259,7 @@ class Walk:
             if j == self.samples[s]:
                 key = (key + c + np.uint64(1)) * _MULT
                 if prune and s >= 2:
-                    ok = self.seen[s][(key * _SPREAD) >> _TOP]
+                    ok = self.seen[s - 2](key)
                     at, key, which, c = at[ok], key[ok], which[ok], c[ok]
                     if not len(at):
                         break
@@ -255,10 +271,7 @@ class Walk:
 
     def learn(self, text: np.ndarray, starts: np.ndarray) -> None:
         _, key, after = self.hashes(text, starts, False)
-        for k in after:
-            seen = np.zeros(1 << 20, bool)
-            seen[(k * _SPREAD) >> _TOP] = True
-            self.seen.append(seen)
+        self.seen = [Seen(k) for k in after[2:]]
         self.owner = np.argsort(key, kind="stable")
         self.keys = key[self.owner]
 
@@ -313,61 +326,125 @@ class Index:
         self.short = Short([t for _, t in brief]) if brief else None
         self.ids = self.ids + [i for i, _ in brief]
 
-    def leaks(self, texts: list[bytes]) -> Iterator[tuple[int, int, int]]:
+        longest = max(map(len, self.texts), default=0)
+        self.overlap = 2 * longest + 256
+
+    def leaks(self, texts: Iterable[bytes]) -> Iterator[tuple[int, int, int]]:
         """(text number, item number, edit distance) for each text and item that it holds."""
-        if not self.ids or not texts:
+        if not self.ids:
             return
+        best: dict[tuple[int, int], int] = {}
+        todo: list[tuple[int, int, str]] = []
+
+        def align():
+            far = edit_distances([(self.plain[i], t) for _, i, t in todo])
+            for (d, i, _), e in zip(todo, far, strict=True):
+                if e <= int(self.tolerance * len(self.plain[i])):
+                    best[d, i] = min(best.get((d, i), e), e)
+            todo.clear()
+
+        for parts in _pieces(texts, max(PART, 4 * self.overlap), self.overlap):
+            for d, i, text in self._near(parts):
+                if text is None:
+                    best[d, i] = 0
+                else:
+                    todo.append((d, i, text))
+            if len(todo) >= ALIGNED:
+                align()
+        align()
+        for (d, i), e in sorted(best.items()):
+            yield d, i, e
+
+    def _near(self, parts: list[Part]) -> Iterator[tuple[int, int, str | None]]:
+        """(text number, item number, what to align the item with), or None for the last where the item stands exactly."""
+        texts = [p.text for p in parts]
         raw, start, doc, word = _joined(texts)
         begin = np.cumsum([0, *(len(t) + 1 for t in texts)])[: len(texts)]
-        parts: dict[tuple[int, int], set[tuple[int, int]]] = {}
+        where: dict[tuple[int, int], set[tuple[int, int]]] = {}
         for stride, walks, item_of, offset in self.classes:
             mine = word % stride == 0
             at, own = start[mine], doc[mine]
             for walk in walks:
                 s, w = walk.meet(raw, at)
-                where = at[s] - begin[own[s]] - offset[w]
-                for d, i, p in {*zip(own[s].tolist(), item_of[w].tolist(), (where // 32).tolist(), strict=True)}:
+                place = at[s] - begin[own[s]] - offset[w]
+                for d, i, p in {*zip(own[s].tolist(), item_of[w].tolist(), (place // 32).tolist(), strict=True)}:
                     wide, slack = len(self.texts[i]), int(self.tolerance * len(self.texts[i])) + 4
-                    parts.setdefault((d, i), set()).add((max(0, p * 32 - slack), p * 32 + 32 + wide + slack))
+                    where.setdefault((d, i), set()).add((max(0, p * 32 - slack), p * 32 + 32 + wide + slack))
         padded = np.concatenate((raw, np.zeros(16, np.uint8)))
         for grams in self.grams:
-            for i, a, b in grams.meet(padded):
-                for d in range(max(0, int(np.searchsorted(begin, a, "right")) - 1), int(np.searchsorted(begin, b, "left"))):
-                    low, high = max(0, a - int(begin[d])), min(b - int(begin[d]), len(texts[d]))
-                    if high - low >= len(self.plain[i]) - int(self.tolerance * len(self.plain[i])):
-                        parts.setdefault((d, i), set()).add((low, high))
-        best: dict[tuple[int, int], int] = {}
+            items, low, high = grams.meet(padded)
+            first = np.maximum(0, np.searchsorted(begin, low, "right") - 1)
+            last = np.searchsorted(begin, high, "left")
+            for i, a, b, x, y in zip(items.tolist(), low.tolist(), high.tolist(), first.tolist(), last.tolist(), strict=True):
+                for d in range(x, y):
+                    own = int(begin[d])
+                    c, e = max(0, a - own), min(b - own, len(texts[d]))
+                    if e - c >= len(self.plain[i]) - int(self.tolerance * len(self.plain[i])):
+                        where.setdefault((d, i), set()).add((c, e))
         for i, p in self.short.meet(padded) if self.short else ():
-            best[int(np.searchsorted(begin, p, "right")) - 1, len(self.texts) + i] = 0
-        todo = []
-        for (d, i), some in parts.items():
+            d = int(np.searchsorted(begin, p, "right")) - 1
+            at, size = p - int(begin[d]), len(self.short.texts[i])
+            # Where a part was cut within a word, no word begins or ends.
+            if (at or parts[d].whole_start) and (at + size < len(texts[d]) or parts[d].whole_end):
+                yield parts[d].number, len(self.texts) + i, None
+        for (d, i), some in where.items():
             if self.texts[i] in texts[d]:
-                best[d, i] = 0
+                yield parts[d].number, i, None
                 continue
-            end = -1
-            for a, b in sorted(some):  # overlapping parts are read once
-                if a < end and b - todo[-1][2] <= 3 * len(self.texts[i]):
-                    todo[-1] = (d, i, todo[-1][2], max(end, b))
+            joined: list[tuple[int, int]] = []
+            for a, b in sorted(some):  # overlapping places are read once
+                if joined and a < joined[-1][1] and b - joined[-1][0] <= 3 * len(self.texts[i]):
+                    joined[-1] = joined[-1][0], max(joined[-1][1], b)
                 else:
-                    todo.append((d, i, a, b))
-                end = todo[-1][3]
-        far = edit_distances([(self.plain[i], texts[d][a:b].decode("utf-8", "ignore")) for d, i, a, b in todo])
-        for (d, i, _, _), e in zip(todo, far, strict=True):
-            if e <= int(self.tolerance * len(self.plain[i])):
-                best[d, i] = min(best.get((d, i), e), e)
-        for (d, i), e in sorted(best.items()):
-            yield d, i, e
+                    joined.append((a, b))
+            for a, b in joined:
+                yield parts[d].number, i, texts[d][a:b].decode("utf-8", "ignore")
+
+
+class Part(NamedTuple):
+    """A text or a part of a long one; whether it starts and ends where a word or the text does."""
 
+    number: int
+    text: bytes
+    whole_start: bool = True
+    whole_end: bool = True
 
-def _pieces(texts: list[bytes], most: int = 6 << 20):
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= most:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+
+def _cut(number: int, text: bytes, most: int, overlap: int) -> Iterator[Part]:
+    """A text in parts of at most `most` bytes; whatever is no longer than half the overlap lies in one of them."""
+    at, near = 0, overlap // 4
+
+    def border(p: int, low: int, high: int) -> tuple[int, bool]:
+        gap = text.rfind(b" ", low, high)
+        if gap >= 0:
+            return gap, True
+        while p < len(text) and text[p] & 0xC0 == 0x80:
+            p += 1
+        return p, False
+
+    whole = True
+    while True:
+        if at + most >= len(text):
+            yield Part(number, text[at:], whole, True)
+            return
+        end, clean = border(at + most, at + most - near, at + most)
+        yield Part(number, text[at:end], whole, clean)
+        start = end - overlap
+        at, whole = border(start, start, start + near)
+
+
+def _pieces(texts: Iterable[bytes], most: int, overlap: int) -> Iterator[list[Part]]:
+    """The texts, and long ones in parts, some at a time."""
+    held, size = [], 0
+    for d, t in enumerate(texts):
+        for part in [Part(d, t)] if len(t) <= most else _cut(d, t, most, overlap):
+            if held and size + len(part.text) > most:
+                yield held
+                held, size = [], 0
+            held.append(part)
+            size += len(part.text)
+    if held:
+        yield held
 
 
 def _indexes(benchmark: DataFrame, block_items: int, **options):
@@ -381,18 +458,14 @@ def _indexes(benchmark: DataFrame, block_items: int, **options):
 def _pairs(send, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         ids, found = pdf["doc_id"].tolist(), []
-        texts = [normalised(t) for t in pdf["text"]]
-        for a, b in _pieces(texts):
-            found += [(ids[a + d], send.value.ids[i], e) for d, i, e in send.value.leaks(texts[a:b])]
+        found += [(ids[d], send.value.ids[i], e) for d, i, e in send.value.leaks(map(normalised, pdf["text"]))]
         yield pd.DataFrame(found, columns=["doc_id", "item_id", "distance"], dtype=object)
 
 
 def _is_clean(send):
     def judge(text: pd.Series) -> pd.Series:
-        texts = [normalised(t) for t in text]
-        hit = np.zeros(len(texts), bool)
-        for a, b in _pieces(texts):
-            hit[[a + d for d, _, _ in send.value.leaks(texts[a:b])]] = True
+        hit = np.zeros(len(text), bool)
+        hit[[d for d, _, _ in send.value.leaks(map(normalised, text))]] = True
         return pd.Series(~hit)
 
     return F.pandas_udf(judge, "boolean")
