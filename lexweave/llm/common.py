@@ -19,17 +19,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the one the cluster names in spark.checkpoint.dir,
-    or one of our own where that is unset, as in local tests."""
+    or one of our own where that is unset and Spark runs in this process alone, as in local tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexweave-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lexweave-checkpoint-"))
     return context.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written once to the shared folder and read from there afterwards."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """`df` written once to the shared folder and read from there afterwards.
+
+    A checkpoint keeps the estimated size of its plan, which for joins is a product of sizes: over many
+    rounds these become numbers of millions of digits. So the rows get a plan without an estimate."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    saved = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(saved.queryExecution().toRdd(), saved.schema(), False), spark)
 
 
 def sweep(spark: SparkSession) -> None:
@@ -52,15 +60,31 @@ def unit_hash(seed: int, *columns: Column) -> Column:
 
 # ---------------------------------------------------------------- words of many texts at once
 
+#: Bytes that are hashed at once; each takes some 40 bytes of memory meanwhile.
+PIECE = 250_000
 #: Odd constants of the word hash; any odd 64-bit numbers do.
 _BASE, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
+def _kinds(letters_only: bool, marks: bool) -> np.ndarray:
+    """By byte: 0 separates; runs of equal other kinds are words."""
+    kind = np.ones(256, np.int8)
+    kind[[9, 10, 11, 12, 13, 32]] = 0
+    byte = _LOWER.astype(int)
+    letter, digit, space = (byte >= 97) & (byte <= 122), (byte >= 48) & (byte <= 57), kind == 0
+    if letters_only:
+        kind[(byte < 128) & ~letter] = 0
+    if marks:
+        kind[~space & (byte < 128) & ~letter & ~digit] = 2
+    return kind
+
+
+_KIND = {(a, b): _kinds(a, b) for a in (False, True) for b in (False, True)}
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers (the finaliser of splitmix64)."""
     x = x ^ (x >> np.uint64(30))
@@ -74,6 +98,7 @@ _POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse; only pieces are hashed, so there are never many."""
     if len(_POWERS["up"]) < n:
         size = 1 << max(12, int(n - 1).bit_length())
         base = np.full(size, _BASE, np.uint64)
@@ -85,7 +110,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(texts: list[bytes], letters_only: bool = False, marks: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words of many UTF-8 texts, A-Z lower-cased.
+    """Hashes of the words of some UTF-8 texts of `PIECE` bytes together, A-Z lower-cased.
 
     A word is a run of bytes other than space and 0x09-0x0D; with `letters_only`, other ASCII
     characters that are no letters separate too; with `marks`, runs of other ASCII characters are words
@@ -93,15 +118,9 @@ def word_hashes(texts: list[bytes], letters_only: bool = False, marks: bool = Fa
     ends index the joined bytes."""
     joined = b" ".join(texts) + b" "
     raw = _LOWER[np.frombuffer(joined, np.uint8)]
-    lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    ends_of_text = np.cumsum(lengths)
-    space = _SPACE[raw]
-    if letters_only:
-        space = space | ((raw < 128) & ~((raw >= 97) & (raw <= 122)))
-    kind = (~space).astype(np.int8)
-    if marks:
-        kind[~space & (raw < 128) & ~((raw >= 97) & (raw <= 122)) & ~((raw >= 48) & (raw <= 57))] = 2
-    change = np.flatnonzero(np.diff(np.concatenate(([0], kind, [0]))))
+    ends_of_text = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+    kind = _KIND[letters_only, marks][raw]
+    change = np.flatnonzero(np.diff(kind, prepend=np.int8(0), append=np.int8(0)))
     bounds = np.concatenate((change, [len(raw)]))
     inside = kind[np.minimum(bounds[:-1], len(raw) - 1)] > 0
     start, end = bounds[:-1][inside], bounds[1:][inside]
@@ -112,14 +131,58 @@ def word_hashes(texts: list[bytes], letters_only: bool = False, marks: bool = Fa
     return h, np.searchsorted(ends_of_text, start, side="right"), start, end, raw
 
 
-def in_pieces(texts: list[bytes], most: int = 2 << 20):
-    """Index ranges of `texts` of about `most` bytes each."""
+def _long_word(text: bytes, at: int, kind: np.ndarray) -> tuple[np.uint64, int]:
+    """The hash of the word that begins at `at`, a piece at a time, and where it ends."""
+    total, end, own, power = 0, at, kind[text[at]], 1
+    up, _ = _powers(PIECE + 1)
+    while end < len(text):
+        raw = np.frombuffer(text, np.uint8, min(PIECE, len(text) - end), end)
+        other = np.flatnonzero(kind[raw] != own)
+        raw = _LOWER[raw[: other[0]] if len(other) else raw]
+        total += int((_BYTE[raw] * up[: len(raw)]).sum(dtype=np.uint64)) * power
+        power = power * pow(int(_BASE), len(raw), 1 << 64) % (1 << 64)
+        end += len(raw)
+        if len(other):
+            break
+    return mix(np.array([(total + end - at) % (1 << 64)], np.uint64))[0], end
+
+
+def word_stream(texts: list[bytes], letters_only: bool = False, marks: bool = False):
+    """`word_hashes` of any texts in order, with numbers among all of them, a piece at a time.
+
+    A long text comes in several pieces, which are cut between words. A word longer than a piece comes
+    alone; of its bytes only the first are returned."""
+    kind = _KIND[letters_only, marks]
+    for a, b in in_pieces(texts):
+        if b - a > 1 or len(texts[a]) <= PIECE:
+            h, doc, start, end, raw = word_hashes(texts[a:b], letters_only, marks)
+            yield h, doc + a, start, end, raw
+            continue
+        text, at = texts[a], 0
+        while at < len(text):
+            end = min(at + PIECE, len(text))
+            if end < len(text):
+                k = kind[np.frombuffer(text, np.uint8, end - at + 1, at)]
+                border = np.flatnonzero((k[1:] != k[:-1]) | (k[1:] == 0))
+                if not len(border):
+                    h, end = _long_word(text, at, kind)
+                    yield np.array([h]), np.array([a]), np.array([0]), np.array([end - at]), _LOWER[np.frombuffer(text, np.uint8, 64, at)]
+                    at = end
+                    continue
+                end = at + int(border[-1]) + 1
+            h, doc, start, stop, raw = word_hashes([text[at:end]], letters_only, marks)
+            yield h, doc + a, start, stop, raw
+            at = end
+
+
+def in_pieces(texts: list[bytes], most: int = PIECE):
+    """Index ranges of `texts` of at most `most` bytes together; a longer text is alone."""
     at, size = 0, 0
     for i, t in enumerate(texts):
+        if i > at and size + len(t) + 1 > most:
+            yield at, i
+            at, size = i, 0
         size += len(t) + 1
-        if size >= most:
-            yield at, i + 1
-            at, size = i + 1, 0
     if at < len(texts):
         yield at, len(texts)
 

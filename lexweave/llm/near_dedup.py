@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, in_pieces, mix, sweep, utf8, word_hashes
+from .common import checkpointed, in_pieces, mix, sweep, utf8, word_hashes, word_stream
 from .components import components
 
 COORDINATES, STORED = 128, 64
@@ -42,38 +42,70 @@ _ODD = _GEN.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
 _XOR = _GEN.integers(1, 1 << 63, COORDINATES, dtype=np.uint64)
 _PLACE = _GEN.integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
 BITMAP = 1 << 25
+#: Hashes that are worked on at once.
+BLOCK = 1 << 16
+
+
+def _distinct(full: np.ndarray) -> np.ndarray:
+    """The sorted distinct values, in place."""
+    full.sort()
+    return full[np.concatenate((np.ones(min(1, len(full)), bool), full[1:] != full[:-1]))]
+
+
+def _shingles(words: np.ndarray, k: int) -> np.ndarray:
+    """The hash of every k words in a row, some at a time."""
+    full = np.empty(max(0, len(words) - k + 1), np.uint64)
+    for at in range(0, len(full), BLOCK):
+        part = full[at : at + BLOCK]
+        total = np.zeros(len(part), np.uint64)
+        for j in range(k):
+            total += words[at + j : at + j + len(part)] * _PLACE[j]
+        part[:] = mix(total)
+    return full
+
+
+def _of_words(words: np.ndarray, k: int) -> np.ndarray:
+    if len(words) >= k:
+        return _distinct(_shingles(words, k))
+    if not len(words):
+        return np.empty(0, np.uint64)
+    # The number of words keeps a short text from equalling a shingle.
+    words = np.append(words, np.uint64(len(words)))
+    return mix((words * np.append(_PLACE[: len(words) - 1], _PLACE[15])).sum(keepdims=True, dtype=np.uint64))
 
 
 def shingle_sets(texts, k: int = 4):
     """The sorted distinct shingle hashes of each text."""
     raw = utf8(texts)
     for a, b in in_pieces(raw):
+        if b - a == 1:
+            yield _of_words(np.concatenate([np.empty(0, np.uint64), *(h for h, *_ in word_stream(raw[a:b]))]), k)
+            continue
         h, doc, _, _, _ = word_hashes(raw[a:b])
         first = np.searchsorted(doc, np.arange(b - a + 1))
-        full = np.zeros(max(0, len(h) - k + 1), np.uint64)
-        for j in range(k):
-            full += h[j : len(h) - k + 1 + j] * _PLACE[j]
-        full = mix(full)
+        full = _shingles(h, k)
         for d in range(b - a):
             at, end = first[d], first[d + 1]
-            if end - at >= k:
-                yield np.unique(full[at : end - k + 1])
-            elif end > at:
-                # The number of words keeps a short text from equalling a shingle.
-                words = np.append(h[at:end], np.uint64(end - at))
-                yield mix((words * np.append(_PLACE[: end - at], _PLACE[15])).sum(keepdims=True, dtype=np.uint64))
-            else:
-                yield np.empty(0, np.uint64)
+            yield _distinct(full[at : end - k + 1].copy()) if end - at >= k else _of_words(h[at:end], k)
 
 
 def sketch(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """For non-empty sets: STORED coordinates as int32, and four bits of all COORDINATES in eight int64."""
-    flat = np.concatenate(sets)
-    at = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1])).astype(np.int64)
-    low = np.empty((COORDINATES, len(sets)), np.uint64)
-    for j in range(COORDINATES):
-        low[j] = np.minimum.reduceat((flat ^ _XOR[j]) * _ODD[j], at)
-    low = mix(low).T
+    low = np.full((len(sets), COORDINATES), ~np.uint64(0))
+    parts = [(i, s[at : at + BLOCK]) for i, s in enumerate(sets) for at in range(0, len(s), BLOCK)]
+    while parts:  # some at a time, whatever the size of a set
+        n, size = 0, 0
+        while n < len(parts) and (not n or size + len(parts[n][1]) <= BLOCK):
+            size += len(parts[n][1])
+            n += 1
+        some, parts = parts[:n], parts[n:]
+        flat, owner = np.concatenate([s for _, s in some]), np.array([i for i, _ in some])
+        at = np.concatenate(([0], np.cumsum([len(s) for _, s in some])[:-1])).astype(np.int64)
+        found = np.empty((COORDINATES, n), np.uint64)
+        for j in range(COORDINATES):
+            found[j] = np.minimum.reduceat((flat ^ _XOR[j]) * _ODD[j], at)
+        np.minimum.at(low, owner, found.T)
+    low = mix(low)
     stored = (low[:, :STORED] >> np.uint64(32)).astype(np.uint32).view(np.int32)
     four = (low & np.uint64(15)).reshape(len(sets), 8, 16)
     packed = (four << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
@@ -108,7 +140,7 @@ def sketches(docs: DataFrame, k: int = 4) -> DataFrame:
             for s in shingle_sets(pdf["text"].tolist(), k):
                 held.append(s)
                 size += len(s)
-                if size > 250_000:
+                if size > BLOCK:
                     flush()
                     size = 0
             flush()
@@ -119,11 +151,11 @@ def sketches(docs: DataFrame, k: int = 4) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, d0 long, d1 long, coords array<int>, packed array<long>")
 
 
-def _full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(doc_id, shingles) of at least the documents in `ids` (id).
+def _full_sets(docs: DataFrame, ids: DataFrame, k: int):
+    """(doc_id, shingles) of at least the documents in `ids` (id), and what was sent for it.
 
     The ids go to the readers as a bitmap of their hashes, of 4 MB whatever their number; it only
-    spares work, and the joins that follow pick the rows."""
+    spares work, and the joins that follow pick the rows. The caller destroys it when they are done."""
     bit = F.pmod(F.xxhash64("id"), F.lit(BITMAP))
     words = ids.select(bit.alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit + 1)").alias("w")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit + 1))").alias("map"))
     bitmap = np.zeros(BITMAP // 8, np.uint8)
@@ -137,13 +169,19 @@ def _full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
         for pdf in batches:
             b = pdf["bit"].to_numpy(np.int64)
             pdf = pdf[(wanted[b >> 3] >> (b & 7)) & 1 == 1]
-            for at in range(0, len(pdf), 500):
-                some = pdf.iloc[at : at + 500]
-                sets = [s.view(np.int64) for s in shingle_sets(some["text"].tolist(), k)]
-                yield pd.DataFrame({"doc_id": some["doc_id"].to_numpy(), "shingles": sets})
+            own, sets, size = [], [], 0
+            for i, s in zip(pdf["doc_id"].tolist(), shingle_sets(pdf["text"].tolist(), k), strict=True):
+                own.append(i)
+                sets.append(s.view(np.int64))
+                size += len(s)
+                if size > 2 * BLOCK:  # no more at once than some texts or one long one
+                    yield pd.DataFrame({"doc_id": own, "shingles": sets})
+                    own, sets, size = [], [], 0
+            if own:
+                yield pd.DataFrame({"doc_id": own, "shingles": sets})
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(BITMAP)).alias("bit"))
-    return rows.mapInPandas(run, "doc_id long, shingles array<long>")
+    return rows.mapInPandas(run, "doc_id long, shingles array<long>"), send
 
 
 def _alike(a: str, b: str) -> Column:
@@ -166,7 +204,9 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataF
     """The pairs (u, v) whose full sets reach the threshold."""
     pairs = checkpointed(pairs)
     sweep(docs.sparkSession)
-    sets = checkpointed(_full_sets(docs, pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), k))
+    sets, sent = _full_sets(docs, pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), k)
+    sets = checkpointed(sets)
+    sent.destroy()
     one = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a")), "u")
     two = one.join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
@@ -177,7 +217,8 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataF
 def _mixed(rows: DataFrame) -> DataFrame:
     """The rows of nodes in which more than one component is left, with the node's size."""
     sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("a"), F.max("label").alias("b")).where("a < b")
-    return rows.join(sizes.select("node", "size"), "node")
+    # A table of its own, so that the join shuffles both sides and large nodes can be split.
+    return rows.join(checkpointed(sizes.select("node", "size")), "node")
 
 
 def _viable(docs: DataFrame, hot: DataFrame, brief: DataFrame, k: int, percent: int, slack: float, rare: int) -> tuple[DataFrame, DataFrame]:
@@ -187,8 +228,10 @@ def _viable(docs: DataFrame, hot: DataFrame, brief: DataFrame, k: int, percent:
     by it, which makes few pairs. For all others the rare shingles bound the intersection, and exactly:
     copies of one text with many edits of their own, alike but not alike enough, go at once."""
     own = checkpointed(hot.select(F.col("rep").alias("doc_id"), "label").distinct())
-    sets = _full_sets(docs, own.select(F.col("doc_id").alias("id")), k).join(own.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    each = checkpointed(sets).select(F.col("doc_id").alias("rep"), F.explode("shingles").alias("h"))
+    sets, sent = _full_sets(docs, own.select(F.col("doc_id").alias("id")), k)
+    sets = checkpointed(sets.join(own.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    sent.destroy()
+    each = sets.select(F.col("doc_id").alias("rep"), F.explode("shingles").alias("h"))
     # A shingle with one holder names it; only those with a few are joined back to theirs.
     held_by = checkpointed(each.groupBy("h").agg(F.count("*").alias("holders"), F.min("rep").alias("one")).where(F.col("holders") <= rare))
     scarce = checkpointed(each.join(held_by.where("holders > 1").select("h"), "h"))
@@ -259,7 +302,7 @@ def cluster(docs: DataFrame, *, k: int = 4, percent: int = 80, trees: int = 4, b
         known = labelled(rows)
         order = F.xxhash64(F.lit(r), "node", "rep")
         least = [F.min(F.when(F.pmod(F.xxhash64(F.lit(r), "rep"), F.lit(leads)) == j, F.struct((-F.col("rank")).alias("rank"), order.alias("order"), "rep", "label"))) for j in range(leads)]
-        chosen = known.groupBy("node").agg(F.array_compact(F.array(*least)).alias("leads"))
+        chosen = checkpointed(known.groupBy("node").agg(F.array_compact(F.array(*least)).alias("leads")))
         other = F.filter("leads", lambda x: x["label"] != F.col("label"))
         asked = known.join(chosen, "node").select("rep", F.explode(other).alias("x")).select(F.least("rep", "x.rep").alias("u"), F.greatest("rep", "x.rep").alias("v"), "rep").distinct()
         if tested is not None:

@@ -24,20 +24,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, in_pieces, mix, unit_hash, utf8, word_hashes
+from .common import checkpointed, mix, unit_hash, utf8, word_stream
 
 BUCKETS = 16_384
 
 
-def ngrams(raw: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, bucket) of every n-gram; bucket 0 is a word that repeats the one before."""
-    h, doc, _, _, _ = word_hashes(raw, marks=True)
-    room = np.uint64(buckets - 1)
-    one = (h >> np.uint64(20)) % room + np.uint64(1)
-    same = doc[1:] == doc[:-1]
-    pair = (mix(h[:-1] * np.uint64(3) + h[1:]) >> np.uint64(20)) % room + np.uint64(1)
-    pair[h[1:] == h[:-1]] = 0
-    return np.concatenate((doc, doc[1:][same])), np.concatenate((one, pair[same])).astype(np.int64)
+def ngrams(raw: list[bytes], buckets: int = BUCKETS):
+    """(text number, bucket) of every n-gram, a piece at a time; bucket 0 is a word that repeats the one before."""
+    room, before = np.uint64(buckets - 1), (np.empty(0, np.uint64), np.empty(0, np.int64))
+    for h, doc, *_ in word_stream(raw, marks=True):
+        one = (h >> np.uint64(20)) % room + np.uint64(1)
+        left, owner = np.concatenate((before[0], h)), np.concatenate((before[1], doc))
+        same = owner[1:] == owner[:-1]
+        pair = (mix(left[:-1] * np.uint64(3) + left[1:]) >> np.uint64(20)) % room + np.uint64(1)
+        pair[left[1:] == left[:-1]] = 0
+        before = left[-1:], owner[-1:]
+        yield np.concatenate((doc, owner[1:][same])), np.concatenate((one, pair[same])).astype(np.int64)
 
 
 def _count(ids: np.ndarray, batches):
@@ -46,10 +48,9 @@ def _count(ids: np.ndarray, batches):
     for pdf in batches:
         good = np.isin(pdf["doc_id"].fillna(-1).to_numpy(np.int64), ids) & pdf["doc_id"].notna().to_numpy()
         texts = utf8(pdf["text"])
-        for a, b in in_pieces(texts):
-            doc, bucket = ngrams(texts[a:b])
+        for doc, bucket in ngrams(texts):
             raw += np.bincount(bucket, minlength=BUCKETS)
-            target += np.bincount(bucket[good[a:b][doc]], minlength=BUCKETS)
+            target += np.bincount(bucket[good[doc]], minlength=BUCKETS)
     some = np.flatnonzero(raw)
     yield pd.DataFrame({"bucket": some, "raw": raw[some], "target": target[some]})
 
@@ -75,12 +76,12 @@ def model(docs: DataFrame, labels: DataFrame, *, most_target: int = 20_000, smoo
 
 def _weigh(ratio: np.ndarray, length: float, batches):
     for texts in batches:
-        raw, out = utf8(texts), np.zeros(len(texts))
-        for a, b in in_pieces(raw):
-            doc, bucket = ngrams(raw[a:b])
-            n = np.bincount(doc, minlength=b - a)
-            out[a:b] = np.bincount(doc, ratio[bucket], b - a) / np.maximum(1, n)
-        yield pd.Series(out * length)
+        total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        for doc, bucket in ngrams(utf8(texts)):
+            first = doc[0] if len(doc) else 0  # texts come in order
+            n[first:] += np.bincount(doc - first, minlength=len(texts) - first)
+            total[first:] += np.bincount(doc - first, ratio[bucket], len(texts) - first)
+        yield pd.Series(total / np.maximum(1, n) * length)
 
 
 def kth_largest(keyed: DataFrame, k: int, *, bins: int = 2048, few: int = 5000) -> tuple[float, int] | None:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, in_pieces, unit_hash, utf8, word_hashes
+from .common import _BYTE, _powers, held_out, in_pieces, mix, unit_hash, utf8, word_stream
 
 #: Kinds of groups; a term is swapped with the next one of its kind.
 IDENTITIES = (
@@ -47,31 +47,30 @@ class Model:
     def logits(self, texts) -> np.ndarray:
         out = np.full(len(texts), self.intercept)
         raw = utf8(t.lower() if isinstance(t, str) else t for t in texts)
-        for a, b in in_pieces(raw):
-            doc, feature = features(raw[a:b])
-            if len(self.features):
+        for a, b in in_pieces(raw) if len(self.features) else ():
+            seen = []
+            for doc, feature in features(raw[a:b]):
                 at = np.minimum(np.searchsorted(self.features, feature), len(self.features) - 1)
                 hit = self.features[at] == feature
-                both = np.unique(doc[hit].astype(np.int64) * len(self.features) + at[hit])
-                out[a:b] += np.bincount(both // len(self.features), self.weights[both % len(self.features)], b - a)
+                seen.append(np.unique(doc[hit].astype(np.int64) * len(self.features) + at[hit]))
+            both = np.unique(np.concatenate(seen)) if seen else np.empty(0, np.int64)
+            out[a:b] += np.bincount(both // len(self.features), self.weights[both % len(self.features)], b - a)
         return out
 
 
-def features(raw: list[bytes], stems: tuple[int, ...] = (4, 5)) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, feature) of every word and every beginning of a longer word."""
-    from .common import _BYTE, _powers, mix
-
-    h, doc, start, end, joined = word_hashes(raw, letters_only=True)
-    docs, found = [doc], [(h >> np.uint64(32)).astype(np.uint32)]
-    for n in stems:
-        long = end - start > n
-        first = np.zeros(int(long.sum()), np.uint64)
-        up, _ = _powers(n + 1)
-        for k in range(n):
-            first += _BYTE[joined[start[long] + k]] * up[k]
-        docs.append(doc[long])
-        found.append((mix(first + np.uint64(0xABCDEF)) >> np.uint64(32)).astype(np.uint32))
-    return np.concatenate(docs), np.concatenate(found)
+def features(raw: list[bytes], stems: tuple[int, ...] = (4, 5)):
+    """(text number, feature) of every word and every beginning of a longer word, a piece at a time."""
+    for h, doc, start, end, joined in word_stream(raw, letters_only=True):
+        docs, found = [doc], [(h >> np.uint64(32)).astype(np.uint32)]
+        for n in stems:
+            long = end - start > n
+            first = np.zeros(int(long.sum()), np.uint64)
+            up, _ = _powers(n + 1)
+            for k in range(n):
+                first += _BYTE[joined[start[long] + k]] * up[k]
+            docs.append(doc[long])
+            found.append((mix(first + np.uint64(0xABCDEF)) >> np.uint64(32)).astype(np.uint32))
+        yield np.concatenate(docs), np.concatenate(found)
 
 
 def swapped(text: str, identities=IDENTITIES, neutral: str = NEUTRAL) -> list[str]:
@@ -89,10 +88,12 @@ def _rows_of(texts) -> list[np.ndarray]:
     raw = utf8(t.lower() for t in texts)
     out: list[np.ndarray] = []
     for a, b in in_pieces(raw):
-        doc, feature = features(raw[a:b])
-        order = np.argsort(doc, kind="stable")
-        parts = np.split(feature[order], np.searchsorted(doc[order], np.arange(1, b - a)))
-        out += [np.unique(p) for p in parts]
+        own: list[np.ndarray] = [np.empty(0, np.uint32)] * (b - a)
+        for doc, feature in features(raw[a:b]):
+            order = np.argsort(doc, kind="stable")
+            parts = np.split(feature[order], np.searchsorted(doc[order], np.arange(1, b - a)))
+            own = [np.union1d(x, p) for x, p in zip(own, parts, strict=True)]
+        out += own
     return out
 
 
