@@ -351,3 +351,26 @@ def cluster(docs: DataFrame, *, k: int = 4, percent: int = 80, trees: int = 4, b
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def representatives(docs: DataFrame, **options) -> DataFrame:
+    """One row of each class of near copies in `docs` (doc_id, text, ...), with all its columns: that of the least doc_id.
+
+    Unlike in `cluster`, rows need not have an id of their own. Of rows that share a doc_id, the one of the
+    least text hash bears it; the others, and rows without doc_id, are compared under an id made of their text,
+    which comes after all others. Equal rows are one. Columns may have any names."""
+    own = F.xxhash64(F.lit(31), F.col("doc_id"), F.col("text"))
+    thin = docs.select("doc_id", own.alias("h"))
+    shared = checkpointed(thin.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("h").alias("least")).where("n > 1 OR doc_id IS NULL"))
+    if shared.isEmpty():
+        found = cluster(docs.select("doc_id", "text"), **options)
+        return docs.join(found.where(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    made = F.lit(1 << 62) + F.shiftrightunsigned(own, 2)
+    rows = docs.select("doc_id", "text", own.alias("h"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    rows = rows.join(shared.select(F.col("doc_id").alias("id"), "least"), F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    bears = F.col("doc_id").isNotNull() & (F.col("least").isNull() | (F.col("least") == F.col("h")))
+    rows = rows.select(F.when(bears, F.col("doc_id")).otherwise(made).alias("key"), "text", "row", (F.col("least").isNotNull() | F.col("doc_id").isNull()).alias("twice"))
+    found = cluster(rows.select(F.col("key").alias("doc_id"), "text"), **options)
+    rows = rows.join(found.where(~F.col("kept")).select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti")
+    once = rows.where("NOT twice").union(rows.where("twice").dropDuplicates(["key"]))
+    return once.select(*[F.col("row")[c].alias(c) for c in docs.columns])
