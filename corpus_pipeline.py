@@ -2,7 +2,12 @@
 
 Every stage takes the documents that its predecessor kept, with all their columns, and its decision
 takes effect on the rows that it returns. Between the stages the documents are written as Parquet,
-so a lost executor costs no more than the stage that runs."""
+so a lost executor costs no more than the stage that runs.
+
+Defined results: an empty table gives no rows; null, blank and letterless texts go with the first stage,
+whose language cannot be told; rows that share a doc_id, or have none, are compared by their texts, and equal
+rows are one from the second stage on; very long texts are read whole in every stage; other columns are kept,
+but for shard and slot, which the last stage names."""
 
 from __future__ import annotations
 
@@ -25,8 +30,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the least doc_id."""
-    found = near_dedup.cluster(docs.select("doc_id", "text"), k=5, percent=80)
-    return docs.join(found.where(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    return near_dedup.representatives(docs, k=5, percent=80)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
