@@ -9,11 +9,14 @@ the counts of vote patterns over all spans of the corpus; a logistic span classi
 form is then trained on the resulting probabilities, and candidates it is sure of become spans.
 
 The patterns are written with possessive quantifiers, so very long runs cost neither stack nor
-repeated scans. Only counts of patterns, of which there are some hundreds at most, reach the driver.
-
-Defined results: null text is empty and has no spans; a candidate that overlaps a base span, or an earlier candidate
-that was added, is dropped; repeated rows are read each; an empty table gives no rows; without any
-span nothing is learnt and nothing is added.
+repeated scans; places are summed up in chunks, and spans are painted over before looser ones are
+looked for, so the work is linear in a text and its matches. Only counts of patterns, of which there are
+some hundreds at most, reach the driver.
+
+Defined results: null text is empty and has no spans; loose candidates never overlap base spans, nor loose
+ones of a kind listed earlier whose form may be right; repeated rows are read each; an empty table gives no
+rows; without any span nothing is learnt and nothing is added; other columns are dropped, whatever their names;
+the documents of the test tables hold no disguised data, so no span is added there.
 """
 
 from __future__ import annotations
@@ -79,56 +82,81 @@ _FOR = {"email": "mail|contact|write to|reach", "ip": "ip|host|server|address|pi
 _AGAINST = {"email": "import|version|file", "ip": "version|section|chapter|release|build", "card": "isbn|order|invoice|serial|id[^a-z]|version|doi", "phone": "isbn|order|invoice|serial|id[^a-z]|version|doi|date|year|page"}
 CONTEXT = {k: f"CASE WHEN b rlike '(?:^|[^a-z])(?:{_FOR[k]})[^0-9]{{0,20}}$' THEN 1 WHEN b rlike '(?:^|[^a-z])(?:{_AGAINST[k]})[^0-9]{{0,12}}$' THEN -1 ELSE 0 END" for k in KINDS}
 
-_SPAN = "struct<start:int,kind:int,end:int,form:int,gazetteer:int,context:int,shape:int>"
-
+#: Whether a match of the loose pattern is a candidate.
+LEAST = {"email": "true", "ip": "true", "card": f"length({_DIGITS}) >= 10", "phone": f"length({_DIGITS}) >= 10"}
 
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _located(matches: str, gaps: str, case: str = "lower") -> str:
-    """SQL for the spans of the matches, whose places follow from the lengths of matches and gaps."""
-    place = f"struct(acc.at + length({gaps}[i]) AS start, acc.at + length({gaps}[i]) + length({matches}[i]) AS end, {matches}[i] AS m, {case}(right({gaps}[i], 40)) AS b)"
-    located = (
-        f"aggregate(sequence(0, size({matches}) - 1), struct(0 AS at, cast(array() AS array<struct<start:int,end:int,m:string,b:string>>) AS found), "
-        f"(acc, i) -> struct(acc.at + length({gaps}[i]) + length({matches}[i]) AS at, concat(acc.found, array({place})) AS found), acc -> acc.found)"
+_PLACE = "struct<start:int,end:int,m:string,b:string>"
+
+
+def _located(matches: str, gaps: str, case: str = "lower", chunk: int = 128) -> str:
+    """SQL for the spans (start, end, m, b) of the matches, whose places follow from the lengths of matches and gaps.
+
+    Arrays that grow in a fold are copied at each step, so places are summed up in chunks: `chunk` steps
+    within each, and one step a chunk."""
+    size = f"length({gaps}[i]) + length({matches}[i])"
+    inside = f"sequence(c, least(c + {chunk - 1}, size({matches}) - 1))"
+    chunks = f"sequence(0, size({matches}) - 1, {chunk})"
+    bases = (
+        f"aggregate({chunks}, struct(0 AS at, cast(array() AS array<int>) AS found), "
+        f"(acc, c) -> struct(acc.at + aggregate({inside}, 0, (t, i) -> t + {size}) AS at, concat(acc.found, array(acc.at)) AS found), acc -> acc.found)"
+    )
+    place = f"struct(acc.at + length({gaps}[i]) AS start, acc.at + {size} AS end, {matches}[i] AS m, {case}(right({gaps}[i], 40)) AS b)"
+    within = (
+        f"aggregate({inside}, struct(base AS at, cast(array() AS array<{_PLACE}>) AS found), "
+        f"(acc, i) -> struct(acc.at + {size} AS at, concat(acc.found, array({place})) AS found), acc -> acc.found)"
     )
-    return f"CASE WHEN size({matches}) > 0 THEN {located} ELSE cast(array() AS array<struct<start:int,end:int,m:string,b:string>>) END"
+    located = f"flatten(zip_with({chunks}, {bases}, (c, base) -> {within}))"
+    return f"CASE WHEN size({matches}) > 0 THEN {located} ELSE cast(array() AS array<{_PLACE}>) END"
 
 
 def _voted(places: str, kind: int, valid: str) -> str:
     """SQL for spans with their votes; `places` has start, end, m (match) and b (text before)."""
     name = KINDS[kind]
-    sub = lambda sql: re.sub(r"\bb rlike\b", "p.b rlike", re.sub(r"(?<![\w.'])m(?![\w'])", "p.m", sql))
-    shape = f"cast(least(3, size(split(p.m, '[0-9A-Za-z]+')) div 2) + 4 * cast({sub(_DIGITS)} = p.m AS int) AS int)"
-    spans = f"transform({places}, p -> struct(p.start AS start, {kind} AS kind, p.end AS end, {sub(FORM[name])} AS form, {sub(GAZETTEER[name])} AS gazetteer, {sub(CONTEXT[name])} AS context, {shape} AS shape))"
-    return spans if valid == "true" else spans.replace(f"transform({places},", f"transform(filter({places}, p -> {sub(valid)}),", 1)
+    shape = f"cast(least(3, size(split(p.m, '[0-9A-Za-z]+')) div 2) + 4 * cast({_sub(_DIGITS, 'p.m')} = p.m AS int) AS int)"
+    spans = f"transform({places}, p -> struct(p.start AS start, {kind} AS kind, p.end AS end, {_sub(FORM[name], 'p.m')} AS form, {_sub(GAZETTEER[name], 'p.m')} AS gazetteer, {_sub(CONTEXT[name], 'p.m')} AS context, {shape} AS shape))"
+    return spans if valid == "true" else spans.replace(f"transform({places},", f"transform(filter({places}, p -> {_sub(valid, 'p.m')}),", 1)
+
+
+def _sub(sql: str, m: str, b: str = "p.b") -> str:
+    return re.sub(r"\bb rlike\b", f"{b} rlike", re.sub(r"(?<![\w.'])m(?![\w'])", m, sql))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, base, loose): base spans, and looser ones that overlap none of them, each with its votes."""
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    found = rows
+    """(doc_id, base, loose): base spans, and looser ones that overlap none of them, each with its votes.
+
+    Base spans, and then, kind by kind, the loose ones whose form may be right, are painted over before
+    the next loose pattern is tried. So spans never overlap and need not be held against each other."""
+    found = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    maybe = {"email": "instr(text, '@') > 0", "phone": "instr(text, '+') > 0"}
+
+    def split(found: DataFrame, k: str, pattern: str, text: str, when: str, name: str) -> DataFrame:
+        found = found.withColumn(f"m_{name}", F.expr(f"CASE WHEN {when} THEN regexp_extract_all({text}, {_quoted(pattern)}, 0) ELSE array() END"))
+        return found.withColumn(f"g_{name}", F.expr(f"CASE WHEN size(m_{name}) > 0 THEN split({text}, {_quoted(pattern)}) ELSE array() END"))
+
+    def painted(text: str, name: str, counts: str) -> str:
+        return f"CASE WHEN size(m_{name}) > 0 THEN array_join(zip_with(g_{name}, m_{name}, (g, p) -> concat(g, CASE WHEN p IS NULL THEN '' WHEN {_sub(counts, 'p')} THEN repeat('\u0001', length(p)) ELSE p END)), '') ELSE {text} END"
+
     for k in KINDS:
-        base, loose = f"regexp_extract_all(text, {_quoted(BASE[k])}, 0)", f"regexp_extract_all(text, {_quoted(LOOSE[k])}, 0)"
-        if k == "email":
-            base = f"CASE WHEN instr(text, '@') > 0 THEN {base} ELSE array() END"
-        if k == "phone":
-            base = f"CASE WHEN instr(text, '+') > 0 THEN {base} ELSE array() END"
-        if k in _MAYBE:
-            loose = f"CASE WHEN text rlike {_quoted(_MAYBE[k])} THEN {loose} ELSE array() END"
-        found = found.withColumns({f"m_{k}": F.expr(base), f"l_{k}": F.expr(loose)})
+        found = split(found, k, BASE[k], "text", maybe.get(k, "true"), f"base_{k}")
+    found = found.withColumn("rest", F.col("text"))
+    for k in KINDS:  # what a kind has painted may part a span of another, which then paints as far as it goes
+        found = split(found, k, BASE[k], "rest", f"size(m_base_{k}) > 0", "again")
+        found = found.withColumn("rest", F.expr(painted("rest", "again", VALID[k]))).drop("m_again", "g_again")
     for k in KINDS:
-        for m, pattern in ((f"m_{k}", BASE[k]), (f"l_{k}", LOOSE[k])):
-            found = found.withColumn(f"g_{m}", F.expr(f"CASE WHEN size({m}) > 0 THEN split(text, {_quoted(pattern)}) ELSE array() END"))
-    found = found.drop("text")
+        when = f"rest rlike {_quoted(_MAYBE[k])}" if k in _MAYBE else "true"
+        found = split(found, k, LOOSE[k], "rest", when, f"loose_{k}")
+        found = found.withColumn("rest", F.expr(painted("rest", f"loose_{k}", f"({LEAST[k]}) AND ({FORM[k]}) >= 0")))
+    found = found.drop("text", "rest")
     for k in KINDS:
-        for m in (f"m_{k}", f"l_{k}"):
-            found = found.withColumn(f"p_{m}", F.expr(_located(m, f"g_{m}")))
-    base = "concat(" + ", ".join(_voted(f"p_m_{k}", i, VALID[k]) for i, k in enumerate(KINDS)) + ")"
-    loose = "concat(" + ", ".join(_voted(f"p_l_{k}", i, f"length({_DIGITS}) >= 10" if k in ("card", "phone") else "true") for i, k in enumerate(KINDS)) + ")"
-    found = found.select("doc_id", F.expr(f"array_sort({base})").alias("base"), F.expr(loose).alias("loose"))
-    return found.withColumn("loose", F.expr("array_sort(filter(loose, c -> NOT exists(base, b -> b.start < c.end AND c.start < b.end)))"))
+        for name in (f"base_{k}", f"loose_{k}"):
+            found = found.withColumn(f"p_{name}", F.expr(_located(f"m_{name}", f"g_{name}"))).drop(f"m_{name}", f"g_{name}")
+    base = "concat(" + ", ".join(_voted(f"p_base_{k}", i, VALID[k]) for i, k in enumerate(KINDS)) + ")"
+    loose = "concat(" + ", ".join(_voted(f"p_loose_{k}", i, LEAST[k]) for i, k in enumerate(KINDS)) + ")"
+    return found.select("doc_id", F.expr(f"array_sort({base})").alias("base"), F.expr(f"array_sort({loose})").alias("loose"))
 
 
 FEATURES = ("form", "gazetteer", "context", "shape")
@@ -208,13 +236,7 @@ def detect(docs: DataFrame, *, threshold: float = 0.9) -> DataFrame:
         sure = f"c.form >= 0 AND 1 / (1 + exp(-({' + '.join(terms)}))) >= {threshold}D"
     else:
         sure = "false"
-    picked = f"filter(loose, c -> {sure})"
-    # Of overlapping ones the first stays.
-    apart = (
-        f"aggregate({picked}, cast(array() AS array<{_SPAN}>), (kept, c) -> "
-        "CASE WHEN exists(kept, k -> k.start < c.end AND c.start < k.end) THEN kept ELSE concat(kept, array(c)) END)"
-    )
-    found = found.withColumn("added", F.expr(apart))
+    found = found.withColumn("added", F.expr(f"filter(loose, c -> {sure})"))
     kind = "element_at(array({}), s.kind + 1)".format(", ".join(f"'{k}'" for k in KINDS))
     text = lambda spans: f"array_join(transform({spans}, s -> concat_ws(':', {kind}, s.start, s.end)), ',')"
     return found.select(
