@@ -1,13 +1,15 @@
 """Toxicity by a classifier that is regularised with counterfactuals.
 
-A logistic model over words and word beginnings is learnt from labelled texts. In every labelled
-text that names a group of people, the sentences that name it are also rewritten: once with another
-group of the same kind, once with a neutral word. Beside the log-loss, training pays `strength`
-times the squared difference of the logits of a text and its rewritings, so a bare mention of a
-group neither raises nor lowers the score.
+A logistic model over words and word beginnings is learnt from labelled texts. Every sentence of a
+labelled text that names a group of people is also rewritten, and no other sentence with it: once with
+another group of the same kind, once with a neutral word. Of the texts that name no group, some get
+a neutral sentence that does, so the method acts on any corpus. Beside the log-loss, training pays
+`strength` times the squared difference of the logits of a text and its rewritings, so a bare mention of a
+group neither raises nor lowers the score. The model says how many rewritings took part.
 
 Defined results: a null or empty text has no features and gets the score of the intercept; without
-labelled rows of both kinds, every score is the share of toxic labels (0.5 without any label);
+labelled rows of both kinds, every score is the share of toxic labels (0.5 without any label); an
+empty table gives no rows; very long texts are read whole, a piece at a time;
 repeated rows are scored each; other columns of the input are kept where their names are not those
 of the result (doc_id, held_out, score, predicted), which win.
 """
@@ -15,6 +17,7 @@ of the result (doc_id, held_out, score, predicted), which win.
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,18 +27,57 @@ from pyspark.sql import functions as F
 
 from .common import _BYTE, _powers, held_out, in_pieces, mix, unit_hash, utf8, word_stream
 
-#: Kinds of groups; a term is swapped with the next one of its kind.
-IDENTITIES = (
-    ("women", "men"),
-    ("woman", "man"),
-    ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
-    ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
-    ("black", "white", "asian", "latino", "arab"),
-    ("gay", "lesbian", "bisexual", "straight", "transgender"),
-    ("immigrants", "refugees", "natives"),
-    ("disabled", "blind", "deaf"),
-)
-NEUTRAL = "people"
+# ------------------------------------------------------------------ fixed values of the rewritings
+#: By language: kinds of groups, of which a term is swapped with the next one of its kind; a neutral word; neutral sentences.
+IDENTITIES = {
+    "en": (
+        ("women", "men"),
+        ("woman", "man"),
+        ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
+        ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
+        ("black", "white", "asian", "latino", "arab"),
+        ("gay", "lesbian", "bisexual", "straight", "transgender"),
+        ("immigrants", "refugees", "natives"),
+        ("disabled", "blind", "deaf"),
+    ),
+    "fr": (
+        ("femmes", "hommes"),
+        ("femme", "homme"),
+        ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+        ("musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée"),
+        ("noir", "blanc", "asiatique", "arabe"),
+        ("lesbienne", "bisexuel", "hétérosexuel", "transgenre"),
+        ("immigrés", "réfugiés", "autochtones"),
+        ("handicapé", "aveugle", "sourd"),
+    ),
+    "de": (
+        ("frauen", "männer"),
+        ("frau", "mann"),
+        ("muslime", "christen", "juden", "buddhisten", "atheisten"),
+        ("muslimisch", "christlich", "jüdisch", "buddhistisch", "atheistisch"),
+        ("schwarz", "weiß", "asiatisch", "arabisch"),
+        ("schwul", "lesbisch", "bisexuell", "heterosexuell"),
+        ("einwanderer", "flüchtlinge", "einheimische"),
+        ("behindert", "taub"),
+    ),
+    "es": (
+        ("mujeres", "hombres"),
+        ("mujer", "hombre"),
+        ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+        ("musulmán", "cristiano", "judío", "budista", "ateo"),
+        ("negro", "asiático", "árabe"),
+        ("lesbiana", "bisexual", "heterosexual", "transgénero"),
+        ("inmigrantes", "refugiados", "nativos"),
+        ("discapacitado", "ciego", "sordo"),
+    ),
+}
+NEUTRAL = {"en": "people", "fr": "personnes", "de": "menschen", "es": "personas"}
+SENTENCES = {
+    "en": ("there are {} in this town.", "my neighbour spoke about {} today."),
+    "fr": ("il y a {} dans cette ville.", "mon voisin a parlé de {} hier."),
+    "de": ("hier in der stadt gibt es {}.", "mein nachbar sprach heute über {}."),
+    "es": ("hay {} en esta ciudad.", "mi vecino habló hoy de {}."),
+}
 
 
 @dataclass(frozen=True)
@@ -43,6 +85,7 @@ class Model:
     features: np.ndarray  # sorted uint32
     weights: np.ndarray
     intercept: float
+    rewritings: int = 0
 
     def logits(self, texts) -> np.ndarray:
         out = np.full(len(texts), self.intercept)
@@ -73,15 +116,38 @@ def features(raw: list[bytes], stems: tuple[int, ...] = (4, 5)):
         yield np.concatenate(docs), np.concatenate(found)
 
 
-def swapped(text: str, identities=IDENTITIES, neutral: str = NEUTRAL) -> list[str]:
-    """The text with its group names exchanged within their kind, and with neutral words; none if it names no group."""
-    following = {t: kind[(k + 1) % len(kind)] for kind in identities for k, t in enumerate(kind)}
-    named = re.compile(r"\b(" + "|".join(sorted(following, key=len, reverse=True)) + r")\b")
-    lower = text.lower()
-    if not named.search(lower):
+def _following(identities) -> tuple[dict[str, str], dict[str, str]]:
+    """The term that takes the place of each, and its neutral word; of languages that share a term, the first counts."""
+    after, plain = {}, {}
+    for lang, kinds in identities.items():
+        for kind in kinds:
+            for k, t in enumerate(kind):
+                after.setdefault(t, kind[(k + 1) % len(kind)])
+                plain.setdefault(t, NEUTRAL.get(lang, NEUTRAL["en"]))
+    return after, plain
+
+
+def swapped(text: str, identities=IDENTITIES, most_sentences: int = 4) -> list[str]:
+    """For each of the first `most_sentences` sentences that name a group: the text with the names in that sentence
+    exchanged within their kind, and with neutral words. None if it names no group."""
+    after, plain = _following(identities)
+    if not after:
+        return []
+    named = re.compile(r"\b(" + "|".join(sorted(after, key=len, reverse=True)) + r")\b")
+    sentences = re.split(r"(?<=[.!?\n])", text.lower())
+    at = [k for k, s in enumerate(sentences) if named.search(s)][:most_sentences]
+    return ["".join([*sentences[:k], named.sub(lambda m, words=words: words[m[1]], sentences[k]), *sentences[k + 1 :]]) for k in at for words in (after, plain)]
+
+
+def mentioning(text: str, identities=IDENTITIES) -> list[str]:
+    """The text with a neutral sentence before it that names a group, chosen by the text: of one text in four, if any."""
+    terms = [(lang, t) for lang, kinds in identities.items() for kind in kinds for t in kind]
+    pick = zlib.crc32(text.encode("utf-8", "replace"))
+    if not terms or pick % 4:
         return []
-    sentences = re.split(r"(?<=[.!?\n])", lower)
-    return ["".join(named.sub(f, s) for s in sentences) for f in (lambda m: following[m[1]], neutral)]
+    lang, term = terms[pick // 4 % len(terms)]
+    forms = SENTENCES.get(lang, SENTENCES["en"])
+    return [forms[pick // 4 // len(terms) % len(forms)].format(term) + "\n" + text.lower()]
 
 
 def _rows_of(texts) -> list[np.ndarray]:
@@ -101,8 +167,9 @@ def fit(labelled: DataFrame, *, strength: float = 1.0, most_rows: int = 4_000, m
     """Learn from `labelled` (doc_id, text, toxic).
 
     At most about `most_rows` rows of each label are gathered, chosen by a seeded hash of doc_id;
-    their weights make up for the rows left out. Features that tell the labels apart by less than
-    `least_gain` (G-statistic) are dropped."""
+    their weights make up for the rows left out. The `most_features` features that tell the labels apart best
+    are learnt, but none that does by less than `least_gain` (G-statistic). These bounds hold for the sample that
+    is learnt from only."""
     counts = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect() if r["toxic"] is not None}
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
     if not n0 or not n1:
@@ -115,7 +182,7 @@ def fit(labelled: DataFrame, *, strength: float = 1.0, most_rows: int = 4_000, m
         for pdf in batches:
             texts = pdf["text"].fillna("").tolist()
             own = _rows_of(texts)
-            twins = [swapped(t, identities) for t in texts]
+            twins = [swapped(t, identities) or mentioning(t, identities) for t in texts]
             made = iter(_rows_of([t for x in twins for t in x]))
             yield pd.DataFrame({"toxic": pdf["toxic"], "own": [x.tobytes() for x in own], "twins": [[next(made).tobytes() for _ in x] for x in twins]})
 
@@ -166,7 +233,7 @@ def fit(labelled: DataFrame, *, strength: float = 1.0, most_rows: int = 4_000, m
         m, v = 0.9 * m + 0.1 * full, 0.99 * v + 0.01 * full**2
         move = lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
-    return Model(kept.astype(np.uint32), w, float(bias))
+    return Model(kept.astype(np.uint32), w, float(bias), len(pairs))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
