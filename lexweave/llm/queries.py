@@ -24,7 +24,9 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.fit(secret_scan.findings(spark)))
+    documents = table(spark, sf_dir, "documents")
+    likely = secret_scan.transitions(documents)
+    return secret_scan.scan(documents, secret_scan.fit(secret_scan.findings(spark), likely), likely)
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
