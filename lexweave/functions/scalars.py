@@ -36,11 +36,9 @@ def common_stem(word: str, lemma: str, least: int = 3) -> str:
         f"flatten(transform(sequence(1, greatest(1, length({word}))), i -> transform(filter(sequence({least}, greatest({least}, length({word}))), "
         f"n -> i + n - 1 <= length({word}) AND instr({lemma}, substr({word}, i, n)) > 0), n -> struct(n AS size, -i AS back))))"
     )
-    best = f"array_max({parts})"
-    return (
-        f"CASE WHEN instr({word}, {lemma}) > 0 THEN struct(instr({word}, {lemma}) - 1 AS first, instr({word}, {lemma}) - 1 + length({lemma}) AS end) "
-        f"ELSE CASE WHEN {best} IS NOT NULL THEN struct(-{best}.back - 1 AS first, -{best}.back - 1 + {best}.size AS end) END END"
-    )
+    # Bound by a lambda, so that the search stands in the expression once.
+    longest = f"transform(array(array_max({parts})), b -> CASE WHEN b IS NOT NULL THEN struct(-b.back - 1 AS first, -b.back - 1 + b.size AS end) END)[0]"
+    return f"CASE WHEN instr({word}, {lemma}) > 0 THEN struct(instr({word}, {lemma}) - 1 AS first, instr({word}, {lemma}) - 1 + length({lemma}) AS end) ELSE {longest} END"
 
 
 def stem_cuts(span: str, word: str) -> str:
@@ -86,6 +84,7 @@ def thousands(n: Column) -> Column:
     return F.format_number(n.cast("long"), 0)
 
 
-def learning_rate(step: Column, total: int, warm: int = 50, peak: float = 3e-4) -> Column:
-    """Warm-up times cosine."""
-    return F.lit(peak) * F.least(F.lit(1.0), (step + 1) / F.lit(float(warm))) * 0.5 * (1 + F.cos(F.lit(3.141592653589793) * step / float(max(1, total))))
+def learning_rate(step: Column, total: int, warm: int = 100, peak: float = 3e-4) -> Column:
+    """Warm-up times cosine; after `total` steps it stays where it is. [F14]"""
+    at = F.least(step, F.lit(total))
+    return F.lit(peak) * F.least(F.lit(1.0), (at + 1) / F.lit(float(warm))) * 0.5 * (1 + F.cos(F.lit(3.141592653589793) * at / float(max(1, total))))

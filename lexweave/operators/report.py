@@ -71,6 +71,46 @@ def tex_rows(table: DataFrame, columns: list[str]) -> DataFrame:
     return table.select(F.concat(F.concat_ws(" & ", *[F.col(c).cast("string") for c in columns]), F.lit(r" \\")).alias("line"))
 
 
+def macros(values: DataFrame) -> DataFrame:
+    """Distinct TeX definitions of (name, value), in order. [S21 T6]"""
+    return values.select(F.concat(F.lit("\\newcommand{\\"), "name", F.lit("}{"), "value", F.lit("}")).alias("line")).distinct().orderBy("line")
+
+
+def with_probes(runs: DataFrame, probes: DataFrame, keys=("lang", "method", "budget", "seed")) -> DataFrame:
+    """Runs that have a probe record, with its columns. [J17]"""
+    return runs.join(probes, list(keys))
+
+
+FIGURE = "figure", "panel", "series", "x", "y", "spread"
+
+
+def _figure(rows: DataFrame, name: str, **columns) -> DataFrame:
+    given = {"panel": F.lit(""), "series": F.lit(""), "spread": F.lit(0.0)} | columns
+    return rows.select(F.lit(name).alias("figure"), *[given[c].cast("string" if c in ("panel", "series", "x") else "double").alias(c) for c in FIGURE[1:]])
+
+
 def figure_histogram(vocab: DataFrame) -> DataFrame:
-    """(size, n): data of the histogram of token lengths. [S22]"""
-    return vocab.select(F.length("token").alias("size")).groupBy("size").agg(F.count("*").alias("n"))
+    """Data of the histogram of token lengths. [S22]"""
+    sizes = vocab.select(F.length("token").alias("size")).groupBy("size").agg(F.count("*").alias("n"))
+    return _figure(sizes, "lengths", x=F.col("size"), y=F.col("n"))
+
+
+def figure_merges(merges: DataFrame) -> DataFrame:
+    """Data of the curve of pair frequencies over merges (rank, n). [S22]"""
+    return _figure(merges, "merges", x=F.col("rank"), y=F.col("n"))
+
+
+def figure_bars(stats: DataFrame, metric: str) -> DataFrame:
+    """Data of grouped bars with spreads, a group a language and a bar a method. [S22]"""
+    return _figure(stats.where(F.col("metric") == metric), "bars", series=F.col("method"), x=F.col("lang"), y=F.col("mean"), spread=F.col("sd"))
+
+
+def figure_precision_recall(scores: DataFrame, panel: str) -> DataFrame:
+    """Data of the panels of precision over recall, a panel for each value of `panel`. [S22]"""
+    return _figure(scores, "precision_recall", panel=F.col(panel), x=F.format_string("%.6f", F.col("recall")), y=F.col("precision"))
+
+
+def figure_sweep(runs: DataFrame) -> DataFrame:
+    """Data of the panels of a metric over budgets, a panel a language and a line a method. [S22]"""
+    means = runs.groupBy("lang", "method", "budget").agg(F.round(F.avg("value"), 6).alias("mean"))
+    return _figure(means, "sweep", panel=F.col("lang"), series=F.col("method"), x=F.col("budget"), y=F.col("mean"))

@@ -16,15 +16,12 @@ def gold_source(tagged: DataFrame) -> DataFrame:
     """Rows with the columns of a gold file, made from the distinct words by fixed affixes: wordform,
     preceding_part, stem, following_part, lemma, pos, data_split, word_freq, unique."""
     words = tagged.where(is_word(F.col("surface"))).groupBy("surface").agg(F.count("*").alias("word_freq"), F.min("upos").alias("pos"), F.min("lemma").alias("lemma"))
-    low = F.lower("surface")
-    after = F.lit("")
-    for e in reversed(FOLLOWING):
-        after = F.when((F.length(low) >= len(e) + 3) & low.endswith(e), F.right("surface", F.lit(len(e)))).otherwise(after)
-    rows = words.withColumn("following_part", after).withColumn("rest", F.expr("left(surface, length(surface) - length(following_part))"))
-    before = F.lit("")
-    for e in reversed(PREFIXES):
-        before = F.when((F.length("rest") >= len(e) + 3) & F.lower("rest").startswith(e), F.left("rest", F.lit(len(e)))).otherwise(before)
-    rows = rows.withColumn("preceding_part", before).withColumn("stem", F.expr("substr(rest, length(preceding_part) + 1)"))
+    # The first listed affix that leaves a stem, by a search in a literal array: small, wherever Spark repeats it.
+    listed = lambda ends: "array(" + ", ".join(repr(e) for e in ends) + ")"
+    after = f"coalesce(right(surface, length(get(filter({listed(FOLLOWING)}, e -> length(surface) >= length(e) + 3 AND endswith(lower(surface), e)), 0))), '')"
+    rows = words.withColumn("following_part", F.expr(after)).withColumn("rest", F.expr("left(surface, length(surface) - length(following_part))"))
+    before = f"coalesce(left(rest, length(get(filter({listed(PREFIXES)}, e -> length(rest) >= length(e) + 3 AND startswith(lower(rest), e)), 0))), '')"
+    rows = rows.withColumn("preceding_part", F.expr(before)).withColumn("stem", F.expr("substr(rest, length(preceding_part) + 1)"))
     test = F.substring(F.md5(F.col("surface").cast("binary")), 1, 1).isin("0", "1")
     unique = F.when(F.length("surface") > 2, "unique").otherwise("shared")
     return rows.select(F.col("surface").alias("wordform"), "preceding_part", "stem", "following_part", F.when(F.substring(F.md5(F.col("surface").cast("binary")), 2, 1) < "8", F.lower("stem")).otherwise(F.col("lemma")).alias("lemma"), "pos", F.when(test, "test").otherwise("train").alias("data_split"), "word_freq", unique.alias("unique"))
@@ -43,7 +40,12 @@ def predictions(gold: DataFrame, tokens: DataFrame, seen: DataFrame) -> DataFram
     """Gold items with predicted cuts, number of pieces, and whether the word was seen in training. [P13 F10 J8]
 
     `tokens` has word and pieces; words whose pieces do not make them up are dropped."""
-    rows = gold.join(tokens.select("word", "pieces"), "word").where(F.array_join(F.transform("pieces", stripped), "") == F.col("word"))
+    return predicted(gold.join(tokens.select("word", "pieces"), "word"), seen)
+
+
+def predicted(rows: DataFrame, seen: DataFrame) -> DataFrame:
+    """`predictions` of rows that have word and pieces. [P13 F10 J8]"""
+    rows = rows.where(F.array_join(F.transform("pieces", stripped), "") == F.col("word"))
     cuts = F.filter(cuts_of(F.col("pieces")), lambda c: c < F.length("word"))
     known = seen.select(F.col("form").alias("w"), F.lit(True).alias("was_seen"))
     rows = rows.withColumn("pred", cuts).withColumn("n_pieces", F.size("pieces")).withColumn("w", F.lower("word"))

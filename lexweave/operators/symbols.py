@@ -90,12 +90,14 @@ def weighted(classes: DataFrame, table: DataFrame, *, beta: int = 0, factor: int
     return rows.groupBy("l", "r").agg(F.sum(F.col("n") * weight.cast("long")).alias("score"))
 
 
-def legacy_scores(classes: DataFrame, table: DataFrame) -> DataFrame:
+def legacy_scores(classes: DataFrame, table: DataFrame, part: str = "both") -> DataFrame:
     """(l, r, score) in billionths by the older rule: every pair with a bare marker is a boundary pair and
-    weighs (1 + adj) * 0.98, adj being 0.6 where there is no transition. [A6 J5 F8]"""
+    weighs (1 + adj) * 0.98, adj being 0.6 where there is no transition. Of the two factors `part` takes
+    "both", only "transitions" or only "penalties". [A6 J5 F8]"""
     adj = F.least(F.greatest(F.floor(F.col("p") * 1e6 + 0.5).cast("long"), F.lit(10_000)), F.lit(950_000))
     rows = classes.join(F.broadcast(table.select("pos_l", "pos_r", adj.alias("adj"))), ["pos_l", "pos_r"], "left")
-    weight = F.when(F.col("rule").isin(1, 2), (1_000_000 + F.coalesce("adj", F.lit(600_000))) * 980).otherwise(F.lit(UNIT))
+    gain = F.lit(1_000_000) if part == "penalties" else 1_000_000 + F.coalesce("adj", F.lit(600_000))
+    weight = F.when(F.col("rule").isin(1, 2), gain * (1000 if part == "transitions" else 980)).otherwise(F.lit(UNIT))
     return rows.groupBy("l", "r").agg(F.sum(F.col("n") * weight.cast("long")).alias("score"))
 
 

@@ -60,6 +60,14 @@ def paragraphs(docs: DataFrame, least: int = 200, most: int = 1500) -> DataFrame
     return text.where(F.length("text").between(least, most) & ~marked)
 
 
+def articles(docs: DataFrame, skip: int = 2000, take: int = 6000) -> DataFrame:
+    """Of each language, in the order of doc_id, the documents after the first `skip`, `take` of them. [S1]
+
+    The rank is bounded, so each task keeps no more than skip + take rows of a language before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))
+    return docs.withColumn("rn", rank).where(F.col("rn") <= skip + take).where(F.col("rn") > skip).drop("rn")
+
+
 def hash_key(seed: int) -> F.Column:
     """The place of a paragraph in the order of a seed. [K5]"""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id"), F.col("para_idx")).cast("binary"))
@@ -115,13 +123,15 @@ def annotator_tokens(paras: DataFrame) -> DataFrame:
     return core.union(marks.select("doc_id", "para_idx", F.col("start") + F.col("i"), F.lit("PUNCT"), "mark"))
 
 
-def align(words: DataFrame, tokens: DataFrame) -> DataFrame:
+def align(words: DataFrame, tokens: DataFrame, width: int = 16) -> DataFrame:
     """Words with the tag and lemma of the first token that starts inside them and is no punctuation, else
     of the first, else X and the word itself. [J1]
 
-    The interval join is an equi-join on character places, so its work is linear in the text."""
-    places = words.select("doc_id", "para_idx", "k", F.explode(F.sequence("start", F.col("end") - 1)).alias("tok_start"))
-    met = places.join(tokens, ["doc_id", "para_idx", "tok_start"])
+    The interval join is an equi-join on stretches of `width` characters, of which most words touch one or
+    two, with the exact test after it; so its work is linear in the number of words and tokens."""
+    places = words.select("doc_id", "para_idx", "k", "start", "end", F.explode(F.expr(f"sequence(start div {width}, (end - 1) div {width})")).alias("stretch"))
+    starts = tokens.withColumn("stretch", F.expr(f"tok_start div {width}"))
+    met = places.join(starts, ["doc_id", "para_idx", "stretch"]).where((F.col("tok_start") >= F.col("start")) & (F.col("tok_start") < F.col("end")))
     best = met.groupBy("doc_id", "para_idx", "k").agg(F.min(F.struct((F.col("upos") == "PUNCT").alias("p"), "tok_start", "upos", "lemma")).alias("x"))
     out = words.join(best, ["doc_id", "para_idx", "k"], "left")
     return out.select("doc_id", "para_idx", "k", "surface", F.coalesce("x.upos", F.lit("X")).alias("upos"), F.coalesce("x.lemma", "surface").alias("lemma"), "start", "end")
@@ -142,6 +152,11 @@ def reward_factors(table: DataFrame) -> DataFrame:
     return table.select(F.concat_ws("->", "pos_l", "pos_r").alias("key"), p.alias("p"), F.round(1.6 - p, 4).alias("factor"))
 
 
+def with_surface_pos(words: DataFrame, table: DataFrame) -> DataFrame:
+    """Words (surface, ...) with the most frequent tag of their form, X where the table has none. [J2]"""
+    return words.join(table.select("surface", F.col("upos").alias("pos")), "surface", "left").withColumn("pos", F.coalesce("pos", F.lit("X")))
+
+
 def surface_pos(tagged: DataFrame) -> DataFrame:
     """(surface, upos, n): the most frequent tag of each surface form, ties to the smaller tag. [A4 K6]"""
     counts = tagged.groupBy("surface", "upos").agg(F.count("*").alias("n"))

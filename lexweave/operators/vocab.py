@@ -51,8 +51,9 @@ def report(vocab: DataFrame, base: DataFrame, name: str) -> DataFrame:
     v, b = once(vocab), once(base)
     both = v.withColumn("v", F.lit(1)).join(b.withColumn("b", F.lit(1)), "token", "full_outer")
     counts = both.agg(F.sum(F.coalesce("v", F.lit(0))).alias("size"), F.sum(F.coalesce("b", F.lit(0))).alias("base_size"), F.sum(F.when(F.col("v").isNotNull() & F.col("b").isNotNull(), 1).otherwise(0)).alias("common"), F.count("*").alias("either"))
-    row = counts.crossJoin(lengths(v)).crossJoin(divergence(v, b))  # one row each
-    return row.select(F.lit(name).alias("model"), "size", "base_size", "common", F.round(F.col("common") / F.col("either"), 6).alias("jaccard"), "avg_len", "entropy", "kl")
+    base_lengths = lengths(b).select(F.col("avg_len").alias("base_avg_len"), F.col("entropy").alias("base_entropy"))
+    row = counts.crossJoin(lengths(v)).crossJoin(base_lengths).crossJoin(divergence(v, b))  # one row each
+    return row.select(F.lit(name).alias("model"), "size", "base_size", "common", F.round(F.col("common") / F.col("either"), 6).alias("jaccard"), "avg_len", "base_avg_len", "entropy", "base_entropy", "kl")
 
 
 def ids(vocab: DataFrame) -> DataFrame:
@@ -84,6 +85,32 @@ def windows(rows: DataFrame, *, size: int = 128, by: str = "lang", order: tuple[
     return each.select(by, "window", F.least(F.lit(size).cast("long"), F.col("total") - 1 - F.col("window") * size).alias("n"))
 
 
+def stream_starts(rows: DataFrame, by: str, order: tuple[str, ...]) -> DataFrame:
+    """Rows (by, order, n) with `base`, where each begins in the stream of its language: over documents first, then within them."""
+    doc = rows.groupBy(by, order[0]).agg(F.sum("n").alias("size"))
+    before = lambda *keys: Window.partitionBy(by, *keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    doc = doc.withColumn("doc_base", F.coalesce(F.sum("size").over(before(order[0])), F.lit(0))).drop("size")
+    within = F.coalesce(F.sum("n").over(before(*order)), F.lit(0))
+    return rows.withColumn("own", within).join(doc, [by, order[0]]).withColumn("base", F.col("doc_base") + F.col("own")).drop("own", "doc_base")
+
+
+def training_windows(rows: DataFrame, ids_of: DataFrame, *, samples: int, size: int = 128, seed: int = 0, by: str = "lang", order: tuple[str, ...] = ("doc_id", "para_idx")) -> DataFrame:
+    """(lang, sample, start, n, total): `samples` windows of `size` ids a language at hashed places of its stream, with the sum of their ids. [W10]
+
+    Only the tokens of stretches that a window touches are looked at: windows and tokens meet on places div `size`."""
+    placed = stream_starts(rows.select(by, *order, "tokens", (F.size("tokens") + 1).alias("n")), by, order)
+    streams = placed.groupBy(by).agg(F.max(F.col("base") + F.col("n")).alias("total"))
+    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), by, "sample").cast("binary")), 1, 8), 16, 10).cast("long")
+    starts = streams.where(F.col("total") > size + 1).select(by, "total", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"))
+    starts = starts.select(by, F.col("sample").cast("long").alias("sample"), (place % (F.col("total") - size - 1)).alias("start"))
+    each = placed.select(by, "base", F.posexplode(F.concat("tokens", F.array(F.lit(None).cast("string")))).alias("i", "token")).join(ids_of, "token", "left")
+    last = F.col("token").isNull()  # the end of a row
+    each = each.select(by, (F.col("base") + F.col("i")).alias("place"), F.when(last, 0).otherwise(F.coalesce("id", F.lit(1))).cast("long").alias("id"))
+    asked = starts.withColumn("stretch", F.explode(F.array(F.expr(f"start div {size}"), F.expr(f"start div {size} + 1"))))
+    met = each.withColumn("stretch", F.expr(f"place div {size}")).join(asked, [by, "stretch"]).where((F.col("place") >= F.col("start")) & (F.col("place") < F.col("start") + size))
+    return met.groupBy(by, "sample", "start").agg(F.count("*").alias("n"), F.sum("id").alias("total"))
+
+
 def ngram_bits(train: DataFrame, test: DataFrame, by: str = "lang") -> DataFrame:
     """(lang, tokens, chars, bits_per_char) of test rows (tokens, text) under add-one bigrams of the training rows. [A29]
 

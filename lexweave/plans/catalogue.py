@@ -317,11 +317,14 @@ def runs_per_cell(spark, d):
 
 
 def data_statistics(spark, d):
-    """Words in training and held-out paragraphs and gold words with and without cuts. [A26]"""
+    """Words in training and held-out paragraphs, and gold words: all, of the test split, and unseen in training. The gold words of this corpus have no language. [A26]"""
+    g, seen = gold(spark, d).select("word", "split"), seen_forms(spark, d).select(F.col("form").alias("w"), F.lit(1).alias("known"))
+    sizes = g.withColumn("w", F.lower("word")).join(seen, "w", "left").agg(F.count("*").alias("gold_words"), F.sum((F.col("split") == "test").cast("long")).alias("gold_test"), F.sum(F.col("known").isNull().cast("long")).alias("gold_unseen"))
     rows = paras(spark, d).withColumn("words", F.size(F.split("text", " "))).withColumn("held", text.is_held_out())
-    return rows.groupBy("lang").agg(
+    counts = rows.groupBy("lang").agg(
         F.count("*").alias("paragraphs"), F.round(F.avg(F.when(~F.col("held"), F.col("words"))), 6).alias("mean_train_words"), F.sum(F.when(F.col("held"), F.col("words")).otherwise(0)).alias("test_words")
     )
+    return counts.crossJoin(sizes)  # one row
 
 
 def l2w_variant_report(spark, d):
@@ -391,20 +394,6 @@ def unigram_em(spark, d):
     return spark.createDataFrame(pieces, "token string, logprob double")
 
 
-def train_grid(spark, d):
-    """All symbol methods and the word method for each language and seed, on 3,000 seeded paragraphs at most, as training does. [M13 K5]
-
-    Left out: budgets beyond 200 symbols, alphabet included (the reference has 8,000), L2W and unigram."""
-    rows = arrays(spark, d)
-    each = []
-    for s in SEEDS:
-        rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-        sample = rows.withColumn("key", text.hash_key(s)).withColumn("rn", rank).where("rn <= 3000")
-        each.append(sample.select("lang", "doc_id", "para_idx", "words", "tags", F.lit(s).alias("seed")))
-    names = F.explode(F.array(*[F.lit(m) for m in ("bpe", "pos", "pos_content", "word_bpe")]))
-    return bpe.grid(reduce(DataFrame.unionByName, each).withColumn("method", names), 200)
-
-
 QUERIES = {
     f.__name__: f
     for f in (
@@ -412,7 +401,7 @@ QUERIES = {
         symbol_sequence, adjacent_pair_counts, pair_scores_legacy, bpe_merges_k8, posbpe_merges_k8, content_bpe_merges_k8, word_initial_bpe_merges_k8, bpe_merges_batched, bpe_encode, encode_with_breaks,
         l2w_lexicon, l2w_affixes, l2w_segment, l2w_online_cuts, lcs_stem, gold_items, boundary_prf, boundary_prf_weighted, boundary_prf_subsets, compression_metrics, boundary_absorption, span_diagnostics,
         span_diagnostics_strict, top_spanned, seed_jaccard, seed_agreement, vocab_report, vocab_kl, length_entropy, run_metrics_mean_sd, best_method, metric_pivot, budget_sweep, runs_per_cell, data_statistics,
-        l2w_variant_report, example_picks, token_ids, token_id_stream, ctx_windows, ngram_bits_per_char, llm_reply_parse, llm_prf, cache_antijoin, latest_answer, unigram_em, train_grid,
+        l2w_variant_report, example_picks, token_ids, token_id_stream, ctx_windows, ngram_bits_per_char, llm_reply_parse, llm_prf, cache_antijoin, latest_answer, unigram_em,
     )
 } | {"pair_scores_pos": _scores(beta=1, factor=980), "pair_scores_penalty": _scores(factor=980), "pair_scores_content": _scores(content=bpe.METHODS["pos_content"]["content"])}
 

@@ -81,10 +81,11 @@ ruled AS MATERIALIZED (
     CASE WHEN NOT starts_with(l, '▁') THEN ml END AS wl, CASE WHEN r = '▁' AND NOT starts_with(l, '▁') THEN mr + 1 END AS wr FROM near WHERE r IS NOT NULL)"""
 
 
-def weight(beta: int = 0, factor: int = 1000, content=(), legacy: bool = False) -> str:
+def weight(beta: int = 0, factor: int = 1000, content=(), legacy: str | bool = False) -> str:
     adj = "least(greatest(floor(p * 1e6 + 0.5)::BIGINT, 10000), 950000)"
     if legacy:
-        return f"CASE WHEN rule IN (1, 2) THEN (1000000 + CASE WHEN p IS NULL THEN 600000 ELSE {adj} END) * 980 ELSE 1000000000 END"
+        gain = "1000000" if legacy == "penalties" else f"(1000000 + CASE WHEN p IS NULL THEN 600000 ELSE {adj} END)"
+        return f"CASE WHEN rule IN (1, 2) THEN {gain} * {1000 if legacy == 'transitions' else 980} ELSE 1000000000 END"
     inside = f"CASE WHEN y.pos_l IN ({', '.join(map(repr, content))}) THEN 2000000000 ELSE 1000000000 END" if content else "1000000000"
     return f"CASE rule WHEN 1 THEN {factor} * 1000000 WHEN 2 THEN CASE WHEN wl IS NOT NULL AND wr IS NOT NULL THEN (1000000 + {beta} * coalesce({adj}, 10000)) * {factor} ELSE 1000000 * {factor} END WHEN 3 THEN {inside} ELSE 1000000000 END"
 
@@ -261,10 +262,10 @@ ORACLES = {
     "annotate_words": sql(PARAS, WORDS, TAGGED, "SELECT * FROM tagged"),
     "align_tags_interval_join": sql(
         PARAS, WORDS, f"cores AS MATERIALIZED (SELECT *, CASE WHEN core = '' THEN 0 ELSE instr(surface, core) - 1 END AS lead_ FROM {cored('words')})",
-        f"""tokens AS (SELECT doc_id, para_idx, start + lead_ AS tok_start, {upos('k', 'core')} AS upos, {lemma('core')} AS lemma FROM cores WHERE core <> ''
-  UNION ALL SELECT doc_id, para_idx, start + i - 1, 'PUNCT', mark FROM (SELECT *, unnest(string_split(surface, '')) AS mark, generate_subscripts(string_split(surface, ''), 1) AS i FROM cores) WHERE i - 1 < lead_ OR i - 1 >= lead_ + length(core))""",
-        """met AS (SELECT w.doc_id, w.para_idx, w.k, t.upos, t.lemma, row_number() OVER (PARTITION BY w.doc_id, w.para_idx, w.k ORDER BY t.upos = 'PUNCT', t.tok_start) AS rn
-  FROM words w JOIN tokens t ON t.doc_id = w.doc_id AND t.para_idx = w.para_idx AND t.tok_start >= w.start AND t.tok_start < w."end")""",
+        # The annotator's tokens keep the number of their word, which the tested query does not know.
+        f"""tokens AS (SELECT doc_id, para_idx, k, start + lead_ AS tok_start, {upos('k', 'core')} AS upos, {lemma('core')} AS lemma FROM cores WHERE core <> ''
+  UNION ALL SELECT doc_id, para_idx, k, start + i - 1, 'PUNCT', mark FROM (SELECT *, unnest(string_split(surface, '')) AS mark, generate_subscripts(string_split(surface, ''), 1) AS i FROM cores) WHERE i - 1 < lead_ OR i - 1 >= lead_ + length(core))""",
+        "met AS (SELECT doc_id, para_idx, k, upos, lemma, row_number() OVER (PARTITION BY doc_id, para_idx, k ORDER BY upos = 'PUNCT', tok_start) AS rn FROM tokens)",
         'SELECT doc_id, para_idx, k, surface, coalesce(upos, \'X\') AS upos, coalesce(lemma, surface) AS lemma, start, "end" FROM words LEFT JOIN (SELECT * FROM met WHERE rn = 1) USING (doc_id, para_idx, k)',
     ),
     "surface_majority_pos": sql(PARAS, WORDS, TAGGED, "SELECT surface, upos, n FROM (SELECT surface, upos, count(*) AS n, row_number() OVER (PARTITION BY surface ORDER BY count(*) DESC, upos) AS rn FROM tagged GROUP BY surface, upos) WHERE rn = 1"),
@@ -314,7 +315,7 @@ e AS (SELECT lang, count(*) AS n, sum(coalesce(p, 0)) AS p, count(*) FILTER (len
     "seed_jaccard": jaccard(),
     "seed_agreement": agreement(),
     "vocab_report": sql(*VOCABS, "a AS (SELECT token, 1 AS n FROM va), b AS (SELECT token, 1 AS n FROM vb)", f"""SELECT 'seed0' AS model, (SELECT count(*) FROM a) AS size, (SELECT count(*) FROM b) AS base_size, (SELECT count(*) FROM a JOIN b USING (token)) AS common,
-  round((SELECT count(*) FROM a JOIN b USING (token)) / (SELECT count(*) FROM (SELECT token FROM a UNION SELECT token FROM b)), 6) AS jaccard, l.avg_len, l.entropy, k.kl FROM {length_stats('a')} l, {kl('a', 'b')} k"""),
+  round((SELECT count(*) FROM a JOIN b USING (token)) / (SELECT count(*) FROM (SELECT token FROM a UNION SELECT token FROM b)), 6) AS jaccard, l.avg_len, m.avg_len AS base_avg_len, l.entropy, m.entropy AS base_entropy, k.kl FROM {length_stats('a')} l, {length_stats('b')} m, {kl('a', 'b')} k"""),
     "vocab_kl": sql(*VOCABS, f"SELECT kl FROM {kl('va', 'vb')}"),
     "length_entropy": sql(PARAS, SEQ, segmented("seg", "seqs"), "v AS (SELECT DISTINCT lang, unnest(tokens) AS token FROM seg)", f"SELECT * FROM {length_stats('v', 'lang')}"),
     "run_metrics_mean_sd": sql(*RUNS, "SELECT lang, method, budget::BIGINT AS budget, metric, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS sd, count(*) AS n FROM runs GROUP BY ALL"),
@@ -322,7 +323,7 @@ e AS (SELECT lang, count(*) AS n, sum(coalesce(p, 0)) AS p, count(*) FILTER (len
     "metric_pivot": sql(*RUNS, "SELECT method, " + ", ".join(f"round(avg(value) FILTER (lang = '{x}'), 6) AS {x}" for x in ("de", "en", "es", "fr")) + f" FROM runs WHERE {LAST} GROUP BY method"),
     "budget_sweep": sql(*RUNS, "SELECT lang, method, " + ", ".join(f"round(avg(value) FILTER (budget = {b}), 6) AS b{b}" for b in BUDGETS) + " FROM runs WHERE metric = 'tokens_per_word' GROUP BY lang, method"),
     "runs_per_cell": sql(*RUNS, "SELECT runs, count(*) AS cells FROM (SELECT count(DISTINCT seed) AS runs FROM runs GROUP BY lang, method, budget) GROUP BY runs"),
-    "data_statistics": sql(PARAS, f"SELECT lang, count(*) AS paragraphs, round(avg(w) FILTER (NOT held), 6) AS mean_train_words, coalesce(sum(w) FILTER (held), 0)::BIGINT AS test_words FROM (SELECT lang, len(string_split(text, ' ')) AS w, {HELD} AS held FROM paras) GROUP BY lang"),
+    "data_statistics": sql(PARAS, WORDS, TAGGED, GOLD, SEEN, f"SELECT lang, count(*) AS paragraphs, round(avg(w) FILTER (NOT held), 6) AS mean_train_words, coalesce(sum(w) FILTER (held), 0)::BIGINT AS test_words, (SELECT count(*) FROM gold) AS gold_words, (SELECT count(*) FROM gold WHERE split = 'test') AS gold_test, (SELECT count(*) FROM gold WHERE lower(word) NOT IN (SELECT form FROM seen)) AS gold_unseen FROM (SELECT lang, len(string_split(text, ' ')) AS w, {HELD} AS held FROM paras) GROUP BY lang"),
     "l2w_variant_report": sql(*L2W, GOLD, SEEN, predicted("segments", "lexical"), f"""onl AS (SELECT word, list_transform(range(1, len(ends)), lambda i: substring(word, ends[i] + 1, ends[i + 1] - ends[i])) AS pieces FROM (SELECT word, list_concat([0], list_filter(c, lambda x: x > 0 AND x < length(word)), [length(word)]) AS ends
   FROM (SELECT g.word, coalesce(CASE WHEN s IS NOT NULL THEN list_sort(list_filter([s.first, s.last], lambda c: c > 0 AND c < length(g.word))) END, segments.cuts) AS c FROM (SELECT word, {STEM.format(w='lower(word)', l='lower(lemma)')} AS s FROM gold) g LEFT JOIN segments USING (word))))""",
         predicted("onl", "ahead_of"), f"scores AS (SELECT 'lexicon' AS variant, subset, {PRF} FROM {SUBSETS.format('lexical')} GROUP BY subset UNION ALL SELECT 'online', subset, {PRF} FROM {SUBSETS.format('ahead_of')} GROUP BY subset)",

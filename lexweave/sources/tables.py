@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +26,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or of our own where Spark runs in this process alone."""
+    top = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if top is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        top = tempfile.mkdtemp(prefix="lexweave-")
+    return f"{top}/tables-{uuid.uuid4().hex}"
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Non-blank lines, stripped. [S2]"""
     return spark.read.text(path).select(squeezed(F.col("value")).alias("line")).where("line <> ''")
@@ -77,8 +91,15 @@ def read_gold(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("nullValue", "\u0000").option("emptyValue", "").csv(path).na.fill("")
 
 
+def write_legacy_tagged(rows: DataFrame, path: str) -> None:
+    """Rows (part, sentence, words) as one file a part, each an array of sentences of {word, pos}. [S6 DM4]"""
+    each = rows.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("sentence", "words"))).alias("s"))
+    text = each.select("part", F.to_json(F.transform("s", lambda x: x["words"])).alias("value"))
+    text.write.mode("overwrite").partitionBy("part").text(path)
+
+
 def write_model(merges: DataFrame, path: str) -> None:
-    """Merges by model; left and right are kept apart. [S9 S10 S12]"""
+    """Merges (model_id, rank, l, r) by model; left and right are kept apart. [S9 S10 S12]"""
     merges.write.mode("overwrite").partitionBy("model_id").parquet(path)
 
 
@@ -87,16 +108,79 @@ def read_model(spark: SparkSession, path: str, model_id: str) -> list[tuple[str,
     return [(r["l"], r["r"]) for r in spark.read.parquet(path).where(F.col("model_id") == model_id).orderBy("rank").collect()]
 
 
+def write_bpe(merges: DataFrame, vocab: DataFrame, config: dict, path: str) -> None:
+    """A whole merge model: merges (rank, l, r), vocabulary (token), and its settings as JSON. [S10 S12]"""
+    merges.select("rank", "l", "r").write.mode("overwrite").json(f"{path}/merges")
+    vocab.select("token").write.mode("overwrite").json(f"{path}/vocab")
+    values = [(config.get("beta", 0), config.get("factor", 1000), list(config.get("content", ())), config.get("unseen", 10_000))]
+    merges.sparkSession.createDataFrame(values, BPE_CONFIG).write.mode("overwrite").json(f"{path}/config")
+
+
+BPE_CONFIG = "beta INT, factor INT, content ARRAY<STRING>, unseen INT"
+
+
+def read_bpe(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Merges, sorted vocabulary and settings of a model. [S10 S12]"""
+    merges = spark.read.schema("rank LONG, l STRING, r STRING").json(f"{path}/merges")
+    return merges, spark.read.schema("token STRING").json(f"{path}/vocab"), spark.read.schema(BPE_CONFIG).json(f"{path}/config")
+
+
+def write_legacy_model(merges: DataFrame, vocab: DataFrame, path: str) -> None:
+    """The older form: of each merge only the joined token, twice. [S9 Q3]"""
+    merges.select("rank", F.array(F.concat("l", "r"), F.concat("l", "r")).alias("merge")).write.mode("overwrite").json(f"{path}/merges")
+    vocab.select("token").write.mode("overwrite").json(f"{path}/vocab")
+
+
+def read_legacy_model(spark: SparkSession, path: str) -> DataFrame:
+    """(rank, token) of the older form, whose split points are lost. [S9]"""
+    return spark.read.schema("rank LONG, merge ARRAY<STRING>").json(f"{path}/merges").select("rank", F.col("merge")[1].alias("token"))
+
+
+def write_lemma_words(lexicon: DataFrame, affixes: DataFrame, path: str, *, min_count: int, min_stem: int) -> None:
+    """A stem-boundary model: (form, cuts), all affixes (kind, affix, n), and its two bounds. [S11]"""
+    lexicon.select("form", "cuts").write.mode("overwrite").json(f"{path}/lexicon")
+    affixes.select("kind", "affix", "n").write.mode("overwrite").json(f"{path}/affixes")
+    lexicon.sparkSession.createDataFrame([(min_count, min_stem)], "min_count INT, min_stem INT").write.mode("overwrite").json(f"{path}/config")
+
+
+def read_lemma_words(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, int]:
+    """The lexicon, the affixes that are frequent enough by the model's own bound, and the least stem. [S11]"""
+    config = spark.read.schema("min_count INT, min_stem INT").json(f"{path}/config").first()
+    affixes = spark.read.schema("kind STRING, affix STRING, n LONG").json(f"{path}/affixes").where(F.col("n") >= config["min_count"])
+    return spark.read.schema("form STRING, cuts ARRAY<INT>").json(f"{path}/lexicon"), affixes, config["min_stem"]
+
+
+def write_unigram(pieces: DataFrame, path: str) -> None:
+    """Pieces (token, logprob) of a unigram model. [S13]"""
+    pieces.select("token", "logprob").write.mode("overwrite").parquet(path)
+
+
+def read_unigram(spark: SparkSession, path: str) -> DataFrame:
+    """[S13]"""
+    return spark.read.schema("token STRING, logprob DOUBLE").parquet(path)
+
+
 def upsert(frame: DataFrame, path: str, keys: list[str]) -> None:
     """Replace the partitions that `frame` has rows for, keep the others. [S14 S15 S16 P20]"""
     frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
 def read_runs(spark: SparkSession, glob: str) -> DataFrame:
-    """Run records of all files that match, with method, budget and seed from the folder's name. [S14 P16]"""
-    rows = spark.read.schema(RUN).option("multiLine", True).json(glob).withColumn("path", F.input_file_name())
-    name = F.element_at(F.split("path", "/"), -2)
-    return rows.withColumn("run", name).where(F.col("run").rlike(r"_s\d+$"))
+    """Run records of all files that match, with run_method, run_budget and run_seed from the folder's name; other folders are left out. [S14 P16]"""
+    rows = spark.read.schema(RUN).option("multiLine", True).json(glob).withColumn("run", F.element_at(F.split(F.input_file_name(), "/"), -2))
+    part = lambda k: F.regexp_extract("run", r"([^/=]+)_v(\d+)_s(\d+)$", k)
+    return rows.where(F.col("run").rlike(r"_s\d+$")).select("*", part(1).alias("run_method"), part(2).cast("int").alias("run_budget"), part(3).cast("int").alias("run_seed"))
+
+
+def write_records(records: DataFrame, path: str) -> None:
+    """Run or probe records as JSON, one a folder, which is named `run=<method>_v<budget>_s<seed>` below its language. [S14 S16]"""
+    name = F.format_string("%s_v%d_s%d", "method", "vocab_budget", "seed")
+    records.withColumn("of", F.col("lang")).withColumn("run", name).repartition("of", "run").write.mode("overwrite").partitionBy("of", "run").json(path)
+
+
+def read_probes(spark: SparkSession, glob: str) -> DataFrame:
+    """Probe records with the lang, method, budget and seed that they belong to. [S16]"""
+    return spark.read.schema(f"lang STRING, method STRING, vocab_budget INT, seed INT, {LM}").json(glob)
 
 
 def long_runs(runs: DataFrame) -> DataFrame:
@@ -120,3 +204,8 @@ def write_report(reports: list[DataFrame], path: str) -> None:
     for r in reports[1:]:
         whole = whole.unionByName(r)
     whole.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_summary(summary: DataFrame, path: str) -> None:
+    """One row on a training as JSON. [S20]"""
+    summary.coalesce(1).write.mode("overwrite").json(path)

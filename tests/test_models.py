@@ -145,3 +145,48 @@ def test_grid_trains_every_model(spark):
     got = bpe.grid(samples, 12).collect()
     assert {(r["method"], r["seed"]) for r in got} == {(m, s) for m in ("bpe", "word_bpe") for s in (0, 1)}
     assert [(r["l"], r["r"]) for r in sorted(got, key=lambda r: r["rank"]) if r["method"] == "bpe" and r["seed"] == 1] == [(a, b) for a, b, _ in plain(corpus(1), 8)]
+
+
+def test_expected_counts_equal_all_segmentations():
+    import itertools
+    import math
+
+    score = {"▁": -2.0, "a": -1.0, "b": -1.5, "▁a": -1.2, "ab": -0.7, "ba": -2.5}
+    types = [("ab", 3), ("aba", 2), ("b", 1), ("c", 5)]
+    want: dict = {}
+    for word, freq in types:
+        w, ways = M + word, []
+        for n in range(len(w)):
+            for at in itertools.combinations(range(1, len(w)), n):
+                parts = [w[a:b] for a, b in zip((0, *at), (*at, len(w)), strict=True)]
+                if all(p in score for p in parts):
+                    ways.append((parts, math.exp(sum(score[p] for p in parts))))
+        for parts, p in ways:
+            for part in parts:
+                want[part] = want.get(part, 0) + freq * p / sum(x for _, x in ways)
+    got = unigram.counted(types, score)
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_tokenizers_encode_columns(spark):
+    from lexweave.operators.tokenizers import Merges, Unigram
+
+    df = spark.createDataFrame([("ab b",), ("",), (None,)], "t string")
+    free, words = Merges([("a", "b"), ("ab", M)], "ab"), Merges([(M, "a")], "ab", words=True)
+    pieces = Unigram({M: -3.0, "a": -1.0, "b": -1.0, M + "ab": -1.5})
+    rows = df.select(free.encode(F.col("t")).alias("f"), words.encode(F.col("t")).alias("w"), pieces.encode(F.col("t")).alias("p")).collect()
+    assert (rows[0]["f"], rows[0]["w"], rows[0]["p"]) == (["ab" + M, "b"], [M + "a", "b", M, "b"], [M + "ab", M, "b"])
+    assert rows[2]["f"] is None and free.vocab() == ["a", "ab", "ab" + M, "b", M]
+
+
+def test_breaks_stay_in_training():
+    got = bpe.train([(["a␀b", "a␀b"], ["X", "X"])], 5)
+    assert ("a", "b") not in [(l, r) for l, r, _ in got] and ("b", M) in [(l, r) for l, r, _ in got]
+
+
+def test_grid_scores_cover_every_cell(spark):
+    from lexweave.plans.cells import QUERIES
+
+    rows = QUERIES["grid_scores"](spark, "/root/testdata/sf0.001").collect()
+    assert {r["method"] for r in rows} == set(bpe.METHODS) and len(rows) == 4 * 8 * 6
+    assert all(r["value"] is not None and r["value"] >= 0 for r in rows)

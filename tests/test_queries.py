@@ -4,8 +4,9 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from lexweave.plans.catalogue import QUERIES
-from lexweave.plans.oracles import ORACLES
+from lexweave.plans import catalogue, cells, stored
+
+QUERIES, ORACLES = catalogue.QUERIES | stored.QUERIES | cells.QUERIES, catalogue.ORACLES | stored.ORACLES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
