@@ -58,6 +58,22 @@ def test_toxicity_counterfactuals_take_the_bias_away(spark):
     assert toxicity.fit(labelled, strength=10.0).logits(["a vile thing"])[0] > 1
 
 
+def test_toxicity_query_uses_the_penalty(spark):
+    rng = np.random.default_rng(8)
+    words = [f"mot{i}" for i in range(80)]
+    terms = {1: "musulmans", 0: "chrétiens"}
+    docs = [(i, " ".join(rng.choice(words, 15)) + (f". Les {terms[i % 2]} sont là." if i % 3 else "") + (" vile" if i % 2 else "")) for i in range(600)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, toxic int")
+    probe = spark.createDataFrame([(9000, "Les musulmans chantent."), (9001, "Les chrétiens chantent.")], "doc_id long, text string")
+    scores = {}
+    for strength in (0.0, 10.0):
+        found = {r["doc_id"]: r["score"] for r in toxicity.classify(rows.union(probe), labels, strength=strength).collect()}
+        scores[strength] = found[9000] - found[9001]
+    assert scores[0.0] > 0.1 and abs(scores[10.0]) < 0.3 * scores[0.0]
+    assert toxicity.mentioning("x", {}) == [] and sum(len(toxicity.mentioning(t)) for _, t in docs) > 80
+
+
 def test_toxicity_without_labels_or_rows(spark):
     docs = odd_rows(spark)
     none = spark.createDataFrame([], "doc_id long, toxic int")
@@ -132,6 +148,16 @@ def test_secrets_on_findings_and_texts(spark):
     assert other.groupBy("secret").count().count() == 2
 
 
+def test_secrets_of_other_shapes(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    likely = secret_scan.transitions(docs)
+    assert len(likely) == 37**2 and likely[37 * 20 + 8] > likely[37 * 17 + 24]  # th is likelier than qx
+    model = secret_scan.fit(secret_scan.findings(spark), likely)
+    texts = [(1, 'password = "aB3!xK9%" done'), (2, "api_key: Zk8Qw2LpX9vR"), (3, "page=chapter-12 of it"), (4, "room: handler-204 upstairs"), (5, "token = \"9f86d081884c7d659a2feaa0c55ad015a3bf4f1b\" " + "plain words " * 100_000), (5, "nothing")]
+    found = {r["doc_id"] for r in secret_scan.scan(spark.createDataFrame(texts, "doc_id long, text string"), model, likely).collect()}
+    assert found == {1, 2, 5}
+
+
 def test_secrets_in_documents_match_their_pattern(spark):
     import re
 

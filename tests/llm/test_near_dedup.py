@@ -122,3 +122,20 @@ def test_sketch_seldom_refuses_a_pair_at_the_threshold(spark):
     most = max(r["d"] for r in pairs.where(near_dedup._promising("p", "q", 80, slack)).collect())
     chance = 0.2 * 15 / 16
     assert sum(comb(128, d) * chance**d * (1 - chance) ** (128 - d) for d in range(most + 1, 129)) < 1e-5
+
+
+def test_one_row_of_each_class_stays(spark):
+    w = " ".join(f"w{i}" for i in range(40))
+    other = "other words that are here alone"
+    rows = [(1, w, "a"), (1, w, "a"), (1, w, "b"), (2, w + " x", "c"), (None, w, "d"), (None, other, "e"), (None, other, "e"), (3, "p q r s t u v", "f"), (3, "k l m n o p q r", "g"), (4, "", "h"), (4, "", "h"), (5, None, "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string").selectExpr("*", "1 AS h", "2 AS row", "3 AS kept")
+    out = near_dedup.representatives(docs, k=5)
+    assert out.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect()) == sorted([(1, w), (0, other), (3, "p q r s t u v"), (3, "k l m n o p q r"), (4, ""), (5, "")])
+    assert near_dedup.representatives(docs.limit(0)).count() == 0
+
+
+def test_recall_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup.cluster(docs).collect()}
+    assert found == {i: c for i, (_, c) in brute([(r["doc_id"], r["text"]) for r in docs.collect()]).items()}

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -100,6 +101,33 @@ def test_bounded_loads_move_few_rows(spark):
     assert moved < 0.2 * 6000
 
 
+def plain_ring(ids, shards, virtual, seed, hashes):
+    """Each key's own shard on the ring, by a walk over the points."""
+    points = sharding._points(shards, virtual, seed)
+    return {i: next((s for p, s in points if p >= hashes[i] >> (64 - sharding.RING_BITS)), points[0][1]) for i in ids}
+
+
+def test_rows_stay_at_their_point_where_there_is_room(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('t', id) AS text")
+    hashes = {r["doc_id"]: r["h"] % (1 << 64) for r in docs.select("doc_id", F.xxhash64(F.lit(3), F.col("doc_id")).alias("h")).collect()}
+    own = plain_ring(hashes, 8, 16, 3, hashes)
+    found = {r["doc_id"]: r["shard"] for r in sharding.assign(docs, shards=8, virtual=16, epsilon=20.0).collect()}
+    assert found == own
+    tight = {r["doc_id"]: r["shard"] for r in sharding.assign(docs, shards=8, virtual=16, epsilon=0.2).collect()}
+    counts, most = Counter(own.values()), int(1.2 * 400 / 8)
+    assert max(Counter(tight.values()).values()) <= most
+    assert sum(tight[i] != own[i] for i in own) == sum(max(0, n - most) for n in counts.values())
+
+
+def test_many_shards_end(spark):
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "concat('t', id) AS text")
+    counts = Counter(r["shard"] for r in sharding.assign(docs, shards=1000).collect())
+    assert len(counts) == 1000 and set(counts.values()) == {20}
+    assert len(sharding._points(1000, 64, 3)) == 64_000
+
+
 def test_sharding_edges(spark):
     rows = [(None, None), (None, "x"), (5, ""), (5, ""), (5, "é"), *[(i, "t" * i) for i in range(10, 60)]]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS size", "2 AS arc", "3 AS rank")
@@ -323,7 +351,55 @@ def test_personal_data_keeps_base_spans(spark):
         assert [found[i][f"n_{k}"] for k, _ in PATTERNS] == [sum(s.startswith(k) for s in base) for k, _ in PATTERNS]
     assert found[900003]["spans"] == "email:11:38,phone:47:61,ip:70:84,card:90:109"
     assert found[900006]["spans"] == ""
-    assert sum(r["n_added"] for i, r in found.items() if i < 900000) == 0
+
+
+def disguised(rng):
+    """(text, spans that must be added) with disguised personal data, and texts with look-alikes."""
+    digits = lambda n: "".join(rng.choice("23456789") for _ in range(n))
+
+    def card():
+        body = "4" + digits(14)
+        return next(body + c for c in "0123456789" if luhn(body + c))
+
+    for _ in range(60):
+        name, host = "".join(rng.choices("abcdefgh", k=6)), "".join(rng.choices("klmnop", k=5))
+        number = card()
+        yield from (
+            ("please mail ", "email", f"{name} (at) {host} (dot) com"),
+            ("contact us: ", "email", f"{name}[at]{host}[dot]org"),
+            ("the server ip ", "ip", f"10[.]{rng.randrange(256)}[.]3[.]{rng.randrange(256)}"),
+            ("host address ", "ip", f"192(dot)168(dot){rng.randrange(256)}(dot)7"),
+            ("visa card ", "card", ".".join(number[k : k + 4] for k in range(0, 16, 4))),
+            ("call me, phone ", "phone", f"({digits(3)}) {digits(3)}-{digits(4)}"),
+        )
+        yield from (
+            ("isbn ", None, f"{digits(3)}/{digits(1)}/{digits(6)}/{digits(3)}"),
+            ("invoice ", None, digits(12)),
+            ("order ", None, f"{digits(5)}.{digits(5)}.{digits(6)}"),
+            ("date id ", None, digits(11)),
+        )
+
+
+def test_disguised_data_is_added(spark):
+    rows = list(disguised(random.Random(12)))
+    docs = spark.createDataFrame([(i, f"Some words {before}{what} and more.") for i, (before, _, what) in enumerate(rows)], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in pii.detect(docs).collect()}
+    right = wrong = 0
+    for i, (before, kind, what) in enumerate(rows):
+        at = len("Some words " + before)
+        spans, base = set(found[i]["spans"].split(",")) - {""}, set(base_spans(f"Some words {before}{what} and more."))
+        right += kind is not None and f"{kind}:{at}:{at + len(what)}" in spans - base
+        wrong += len(spans - base - {f"{kind}:{at}:{at + len(what)}"})
+    planted = sum(k is not None for _, k, _ in rows)
+    assert right >= 0.9 * planted and wrong <= 0.05 * planted, (right, wrong, planted)
+
+
+def test_texts_with_very_many_matches_take_linear_time(spark):
+    texts = ["4111 1111 1111 1111, 12345 67890 +1 234 567 8901; " * 6000, "1234567 " * 40_000, "1" * 300_000, "12.34.56.789 " * 20_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    began = time.time()
+    found = {r["doc_id"]: (r["n_card"], r["n_phone"], r["n_ip"]) for r in pii.detect(docs).collect()}
+    assert found == {0: (6000, 6000, 0), 1: (0, 0, 0), 2: (0, 0, 0), 3: (0, 0, 0)} and time.time() - began < 90
 
 
 def test_personal_data_edges(spark):
