@@ -112,16 +112,23 @@ def training_windows(rows: DataFrame, ids_of: DataFrame, *, samples: int, size:
 
 
 def ngram_bits(train: DataFrame, test: DataFrame, by: str = "lang") -> DataFrame:
-    """(lang, tokens, chars, bits_per_char) of test rows (tokens, text) under add-one bigrams of the training rows. [A29]
-
-    It takes the place of the neural probe: nll / ln 2 / characters, a row having its text and one end."""
-    pairs = lambda rows: rows.select(by, F.explode(F.expr("transform(sequence(1, size(s) - 1), i -> struct(s[i - 1] AS l, s[i] AS r))")).alias("x")).select(by, "x.l", "x.r")
-    ended = lambda rows: rows.select(by, F.concat(F.array(F.lit("</s>")), "tokens", F.array(F.lit("</s>"))).alias("s"))
-    seen = pairs(ended(train)).groupBy(by, "l", "r").agg(F.count("*").alias("n"))
-    left = seen.groupBy(by, "l").agg(F.sum("n").alias("nl"))
-    size = seen.groupBy(by).agg((F.countDistinct("r") + 1).alias("v"))
-    asked = pairs(ended(test)).groupBy(by, "l", "r").agg(F.count("*").alias("m"))
-    p = (F.coalesce("n", F.lit(0)) + 1) / (F.coalesce("nl", F.lit(0)) + F.col("v"))
-    nll = asked.join(seen, [by, "l", "r"], "left").join(left, [by, "l"], "left").join(F.broadcast(size), by).groupBy(by).agg(F.sum(-F.col("m") * F.log(p)).alias("nll"), F.sum("m").alias("tokens"))
-    chars = test.groupBy(by).agg(F.sum(F.length("text") + 1).alias("chars"))
+    """`held_out_bits` of two tables."""
+    sides = [rows.select(by, "tokens", "text").withColumn("held", F.lit(held)) for rows, held in ((train, False), (test, True))]
+    return held_out_bits(sides[0].unionByName(sides[1]), by)
+
+
+def held_out_bits(rows: DataFrame, by: str = "lang") -> DataFrame:
+    """(lang, tokens, chars, bits_per_char) of the rows (tokens, text, held) that are held out, under add-one bigrams of the others. [A29]
+
+    It takes the place of the neural probe: nll / ln 2 / characters, a row having its text and one end.
+    The rows are encoded and their bigrams counted once, for both sides; all that follows works on the counts."""
+    ended = rows.select(by, "held", F.concat(F.array(F.lit("</s>")), "tokens", F.array(F.lit("</s>"))).alias("s"))
+    pairs = ended.select(by, "held", F.explode(F.expr("transform(sequence(1, size(s) - 1), i -> struct(s[i - 1] AS l, s[i] AS r))")).alias("x"))
+    counts = pairs.groupBy(by, "x.l", "x.r").agg(F.count_if(~F.col("held")).alias("n"), F.count_if("held").alias("m"))
+    left = Window.partitionBy(by, "l")
+    counts = counts.withColumn("nl", F.sum("n").over(left)).withColumn("first", F.row_number().over(Window.partitionBy(by, "r").orderBy(F.col("n").desc(), "l")))
+    counts = counts.select(by, "n", "m", "nl", ((F.col("first") == 1) & (F.col("n") > 0)).cast("long").alias("kind"))
+    sizes = counts.groupBy(by).agg((F.sum("kind") + 1).alias("v"))
+    nll = counts.where("m > 0").join(sizes, by).groupBy(by).agg(F.sum(-F.col("m") * F.log((F.col("n") + 1) / (F.col("nl") + F.col("v")))).alias("nll"), F.sum("m").alias("tokens"))
+    chars = rows.where("held").groupBy(by).agg(F.sum(F.length("text") + 1).alias("chars"))
     return nll.join(chars, by).select(by, "tokens", "chars", F.round(F.col("nll") / F.lit(0.6931471805599453) / F.col("chars"), 6).alias("bits_per_char"))

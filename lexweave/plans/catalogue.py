@@ -261,12 +261,8 @@ def seed_jaccard(spark, d):
 
 
 def seed_agreement(spark, d):
-    rows, out = held_out(spark, d), []
-    for i, a in enumerate(SEEDS):
-        for b in SEEDS[i + 1 :]:
-            pair = score.agreement(segmented(rows, seed_merges(a)), segmented(rows, seed_merges(b)), ("doc_id", "para_idx"))
-            out.append(pair.select("lang", F.lit(a).alias("a"), F.lit(b).alias("b"), "agreement"))
-    return flat(reduce(DataFrame.unionByName, out))
+    rows = held_out(spark, d).select("lang", *[symbols.tokens_of(symbols.encoded(symbols.sequence_of(F.col("text")), seed_merges(s))).alias(f"t{s}") for s in SEEDS])
+    return flat(score.agreements(rows, {s: f"t{s}" for s in SEEDS}))
 
 
 def _vocab(spark, d, merges):
@@ -288,12 +284,25 @@ def length_entropy(spark, d):
 def _runs(spark, d):
     """Run records: every language, method, budget and seed, a seed training on half of the paragraphs."""
     half = F.array_compact(F.array(*[F.when(F.substring(text.hash_key(s), 1, 1) < "8", F.lit(s)) for s in SEEDS]))
-    rows = paras(spark, d).withColumn("seed", F.explode(half)).withColumn("words", F.size(F.split("text", " ")))
-    parts = []
+    rows = paras(spark, d).withColumn("words", F.size(F.split("text", " "))).withColumn("chars", F.length("text"))
+    # One scan: the budgets of a method are nested, so each goes on from the text as the smaller one left it.
+    done: dict[str, tuple[str, int]] = {}
+    names = []
     for method, budget, merges in variants():
-        n = segmented(rows, merges).groupBy("lang", "seed").agg((F.sum(F.size("tokens")) / F.sum("words")).alias("tokens_per_word"), (F.sum(F.length("text")) / F.sum(F.size("tokens"))).alias("chars_per_token"))
-        parts.append(n.select("lang", F.lit(method).alias("method"), "seed", F.lit(budget).alias("budget"), "tokens_per_word", "chars_per_token"))
-    return report.unpivoted(reduce(DataFrame.unionByName, parts), ["lang", "method", "seed", "budget"], ["tokens_per_word", "chars_per_token"])
+        before, at = done.get(method, ("first", 0))
+        if before == "first" and "first" not in rows.columns:
+            rows = rows.withColumn("first", symbols.sequence_of(F.col("text")))
+        name = f"{method}_{budget}"
+        rows = rows.withColumn(name, symbols.encoded(F.col(before), merges[at:]))
+        done[method] = name, len(merges)
+        names.append((method, budget, name))
+    n = [(F.length(name) - F.length(F.replace(F.col(name), F.lit(S.OPEN), F.lit("")))).alias(name) for _, _, name in names]
+    counts = rows.select("lang", "words", "chars", half.alias("seeds"), *n).withColumn("seed", F.explode("seeds"))
+    sums = counts.groupBy("lang", "seed").agg(*[F.sum(c).alias(c) for c in ("words", "chars", *(name for _, _, name in names))])
+    each = F.array(*[F.struct(F.lit(m).alias("method"), F.lit(b).alias("budget"), F.col(name).alias("n")) for m, b, name in names])
+    wide = sums.select("lang", "seed", "words", "chars", F.explode(each).alias("x"))
+    wide = wide.select("lang", "x.method", "seed", "x.budget", (F.col("x.n") / F.col("words")).alias("tokens_per_word"), (F.col("chars") / F.col("x.n")).alias("chars_per_token"))
+    return report.unpivoted(wide, ["lang", "method", "seed", "budget"], ["tokens_per_word", "chars_per_token"])
 
 
 def run_metrics_mean_sd(spark, d):
@@ -359,7 +368,7 @@ def ctx_windows(spark, d):
 
 
 def ngram_bits_per_char(spark, d):
-    return vocab.ngram_bits(segmented(training(spark, d)), segmented(held_out(spark, d)))
+    return vocab.held_out_bits(segmented(paras(spark, d)).withColumn("held", text.is_held_out()))
 
 
 def _replies(spark, d):
