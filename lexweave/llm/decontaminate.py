@@ -58,6 +58,24 @@ class Seen:
         return self.table[(keys * _SPREAD) >> self.shift]
 
 
+class Runs:
+    """Where each key stands in a sorted array."""
+
+    def __init__(self, keys: np.ndarray):
+        new = np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]))
+        self.first = np.append(np.flatnonzero(new), len(keys))
+        self.keys = keys[new]
+
+    def of(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each asked key stands there, and all its places in turn."""
+        if not len(self.keys) or not len(asked):
+            return np.zeros(len(asked), np.int64), np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+        n = np.where(self.keys[at] == asked, self.first[at + 1] - self.first[at], 0)
+        ends = np.cumsum(n)
+        return n, np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(self.first[at], n)
+
+
 def normalised(text) -> bytes:
     return b" ".join(text.lower().encode("utf-8", "replace").translate(_TABLE).split()) if isinstance(text, str) else b""
 
@@ -211,8 +229,9 @@ class Grams:
         self.offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         key = self.read(raw)[begin[self.item] + self.offset]
         order = np.argsort(key, kind="stable")
-        self.key, self.item, self.offset = key[order], self.item[order], self.offset[order]
-        self.seen = Seen(self.key)
+        self.item, self.offset = self.item[order], self.offset[order]
+        self.runs = Runs(key[order])
+        self.seen = Seen(self.runs.keys)
 
     def read(self, raw: np.ndarray) -> np.ndarray:
         """The gram that starts at each byte but the last eight."""
@@ -222,10 +241,7 @@ class Grams:
         """(item number, first and last byte) of each part of the text with enough grams of an item."""
         gram = self.read(raw)
         place = np.flatnonzero(self.seen(gram))
-        low, high = np.searchsorted(self.key, gram[place], "left"), np.searchsorted(self.key, gram[place], "right")
-        n = high - low
-        ends = np.cumsum(n)
-        which = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(low, n)
+        n, which = self.runs.of(gram[place])
         item = self.item[which]
         slack = self.slack[item]
         diagonal = np.repeat(place, n) - self.offset[which] + (1 << 20)
@@ -248,7 +264,6 @@ class Walk:
         self.table[:, 0] = 0  # the end of a text holds the pointer
         self.samples = np.sort(rng.choice(steps, min(samples, steps), replace=False))
         self.seen: list[Seen] = []
-        self.keys = self.owner = np.empty(0, np.uint64)
 
     def hashes(self, text: np.ndarray, starts: np.ndarray, prune: bool) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """(which starts, their hashes, hashes after each sample); with `prune`, starts that no item shares are left early."""
@@ -273,17 +288,13 @@ class Walk:
         _, key, after = self.hashes(text, starts, False)
         self.seen = [Seen(k) for k in after[2:]]
         self.owner = np.argsort(key, kind="stable")
-        self.keys = key[self.owner]
+        self.runs = Runs(key[self.owner])
 
     def meet(self, text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start number, item window number) of all meetings."""
         which, key, _ = self.hashes(text, starts, True)
-        low, high = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
-        n = high - low
-        if not n.sum():
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        ends = np.cumsum(n)
-        return np.repeat(which, n), self.owner[np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(low, n)]
+        n, at = self.runs.of(key)
+        return np.repeat(which, n), self.owner[at]
 
 
 def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
