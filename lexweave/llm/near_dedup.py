@@ -302,7 +302,7 @@ def cluster(docs: DataFrame, *, k: int = 4, percent: int = 80, trees: int = 4, b
         known = labelled(rows)
         order = F.xxhash64(F.lit(r), "node", "rep")
         least = [F.min(F.when(F.pmod(F.xxhash64(F.lit(r), "rep"), F.lit(leads)) == j, F.struct((-F.col("rank")).alias("rank"), order.alias("order"), "rep", "label"))) for j in range(leads)]
-        chosen = checkpointed(known.groupBy("node").agg(F.array_compact(F.array(*least)).alias("leads")))
+        chosen = known.groupBy("node").agg(F.array_compact(F.array(*least)).alias("leads"))
         other = F.filter("leads", lambda x: x["label"] != F.col("label"))
         asked = known.join(chosen, "node").select("rep", F.explode(other).alias("x")).select(F.least("rep", "x.rep").alias("u"), F.greatest("rep", "x.rep").alias("v"), "rep").distinct()
         if tested is not None:
@@ -312,10 +312,11 @@ def cluster(docs: DataFrame, *, k: int = 4, percent: int = 80, trees: int = 4, b
         nearest = F.row_number().over(Window.partitionBy("rep").orderBy(F.col("alike").desc(), "u", "v"))
         pairs = checkpointed(asked.withColumn("nearest", nearest).where(F.col("nearest") <= (1 if r == 0 else tries)).select("u", "v").distinct())
         tested = pairs if tested is None else tested.union(pairs)
+        del known, chosen, asked  # so that their shuffle files may go
         found = _confirmed(docs, pairs, k, percent)
         links = found if links is None else checkpointed(links.union(found))
         labels = checkpointed(components(links).select(F.col("id").alias("rep"), F.col("root").alias("label")))
-        del known, chosen, asked, pairs, found
+        del pairs, found
         sweep(docs.sparkSession)
 
     frontier, leaves, hot = checkpointed(labelled(rows).select("node", "rep", "label", F.lit(None).cast("long").alias("parent"))), [], []
