@@ -54,7 +54,9 @@ def _key(source: Column) -> Column:
 
 
 def _order(seed: int, size: str = "size") -> Column:
-    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col(size))
+    """A seeded place: the first 60 bits of an MD5 digest, which SQL engines share, as the high bits of an unsigned number."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id"), F.col(size)))
+    return F.shiftleft(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), 4)
 
 
 def ends(sized: DataFrame, **shares) -> DataFrame:

@@ -67,5 +67,34 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
-#: Learnt models and iterations have no SQL twin; tests hold them against brute force or held-out labels.
-ORACLES: dict[str, str] = {}
+OP2_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, 2.0::DOUBLE * source_size AS cap,
+    1.5::DOUBLE * sum(source_size) OVER () AS budget
+  FROM sources
+), levels AS (  -- the water level, were all sources with a lower cap a weight full
+  SELECT a.source, a.cap, a.weight,
+    (a.budget - coalesce(sum(b.cap) FILTER (WHERE b.cap / b.weight < a.cap / a.weight), 0.0))
+      / sum(b.weight) FILTER (WHERE b.cap / b.weight >= a.cap / a.weight) AS level
+  FROM weighed a, weighed b GROUP BY a.source, a.cap, a.weight, a.budget
+), targets AS (
+  SELECT source, source_size, least(cap, coalesce((SELECT level FROM levels WHERE cap >= level * weight ORDER BY cap / weight LIMIT 1), 'infinity'::DOUBLE) * weight) AS target
+  FROM weighed
+), plan AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole, floor(target + 1e-6)::BIGINT AS words FROM targets
+), ordered AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('5:' || coalesce(doc_id || ':', '') || size)[1:15], doc_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM sized
+)
+SELECT o.doc_id, o.size::BIGINT AS size, p.source_size, p.target,
+  (p.whole * o.size + greatest(0, least(o.size, p.words - p.whole * p.source_size - o.before)))::BIGINT AS taken
+FROM ordered o JOIN plan p ON o.source IS NOT DISTINCT FROM p.source
+"""
+
+#: Learnt models, iterations and the ring have no SQL twin; tests hold them against brute force or held-out labels.
+ORACLES: dict[str, str] = {"op2_mixing": OP2_SQL}

@@ -7,6 +7,8 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
+
 from lexweave.llm import decontaminate, fingerprint, mixing, pii, queries, sharding
 
 SF = "/root/testdata/sf0.01"
@@ -75,6 +77,22 @@ def test_mixing_edges(spark):
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.materialised(docs.limit(0)).count() == 0
 
 
+def test_mixing_equals_its_sql(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["a", "b", None, "é", "Z", "big", "big", "big"]), "\u00a0w\x1c \x0b" * rng.randrange(0, 9)) for i in range(400)]
+    rows += [(1000, "one", "x " * 5001), (1001, "none", ""), (1002, "none", None), (1003, "one", None), (1004, "𐐷", "y"), (1005, "\ue000", "y z")]
+    edges, empty = str(tmp_path / "edges"), str(tmp_path / "empty")
+    made = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    made.coalesce(1).write.parquet(f"{edges}/documents.parquet")
+    made.limit(0).coalesce(1).write.parquet(f"{empty}/documents.parquet")
+    for folder, files in ((SF, "documents.parquet"), (edges, "documents.parquet/*.parquet"), (empty, "documents.parquet/*.parquet")):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/{files}'")
+        want = con.execute(queries.ORACLES["op2_mixing"])
+        names = [c[0] for c in want.description]
+        assert sorted(queries.op2_mixing(spark, folder).select(*names).collect()) == sorted(want.fetchall())
+
+
 # ---------------------------------------------------------------- sharding
 
 
