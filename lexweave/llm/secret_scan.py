@@ -6,7 +6,7 @@ transitions are in plain text, the share that dictionary words cover, whether it
 or address, and the words around it. A random forest, trained from labelled findings, keeps the
 candidates that look like secrets.
 
-The transitions are a table of pairs of letters, digits and other signs, counted in a sample of the
+The transitions are a table of pairs of letters, digits and other signs, counted in all
 documents by `transitions()`; without one, all are alike.
 
 `findings()` makes labelled findings from seeded hashes, so that the operator works without a table
@@ -21,6 +21,7 @@ an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
+import zlib
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -28,11 +29,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import unit_hash
 from .pii import _located
 
 CANDIDATE = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+={0,2}|(?<=[=:]|[=:][\"']|[=:]\x20|[=:]\x20[\"'])(?=[^\x20\x09-\x0D\"']{0,63}[0-9])(?=[^\x20\x09-\x0D\"']{0,63}[A-Za-z])[^\x20\x09-\x0D\"'=:]{8,64}+"
 SIGNS = "abcdefghijklmnopqrstuvwxyz0123456789"
+#: Bytes of a text whose pairs are counted at once.
+PIECE = 4096
 
 #: Words that identifiers, paths and placeholders are made of.
 DICTIONARY = (
@@ -77,18 +79,22 @@ FEATURES = {
 }
 
 
-def transitions(docs: DataFrame, *, most_docs: int = 2000, per_doc: int = 4000, seed: int = 23) -> list[float]:
+def transitions(docs: DataFrame) -> list[float]:
     """Log probability of each sign after another in `docs` (doc_id, text), by 37 * first + second; 0 is any sign but letters and digits.
 
-    Learnt from about `most_docs` texts, chosen by a seeded hash of doc_id, and at most `per_doc` characters of
-    each; 37 * 37 counts reach the driver."""
-    n = docs.count()
-    some = docs.where(unit_hash(seed, F.col("doc_id")) < min(1.0, most_docs / max(1, n))).select(F.lower(F.substring("text", 1, per_doc)).alias("t"))
-    signs = some.where(F.length("t") > 1).select(F.expr(f"transform(split(t, ''), x -> instr('{SIGNS}', x))").alias("s"))
-    each = signs.select(F.explode(F.expr("transform(sequence(1, size(s) - 1), i -> 37 * s[i - 1] + s[i])")).alias("k"))
+    Every two neighbours in every whole text are counted, as pairs of UTF-8 bytes: a sign begins at each byte but those
+    from 0x80 to 0xBF, and the byte before it ends the sign before. Pieces share a byte with the next one. CRC32 differs
+    for all pairs of bytes and is a cheaper key than they are; at most 2**16 counts reach the driver."""
+    texts = docs.select(F.expr("cast(lower(text) AS binary)").alias("t"))
+    pieces = texts.select("t", F.explode(F.expr(f"sequence(0, cast((octet_length(t) - 2) div {PIECE} AS int))")).alias("i"))
+    pieces = pieces.select(F.expr(f"substring(t, 1 + {PIECE} * i, {PIECE} + 1)").alias("p")).where(F.octet_length("p") > 1)
+    pairs = pieces.select("p", F.explode(F.expr("sequence(1, octet_length(p) - 1)")).alias("i")).select(F.expr("crc32(substring(p, i, 2))").alias("k"))
+    pair = {zlib.crc32(bytes((x, y))): (x, y) for x in range(256) for y in range(256)}
     counts = [1.0] * 37**2
-    for r in each.groupBy("k").agg(F.count("*").alias("n")).collect():
-        counts[r["k"]] += r["n"]
+    for r in pairs.groupBy("k").agg(F.count("*").alias("n")).collect():
+        first, second = pair[r["k"]]
+        if not 0x80 <= second <= 0xBF:
+            counts[37 * (SIGNS.find(chr(first)) + 1) + SIGNS.find(chr(second)) + 1] += r["n"]
     return [math.log(x / sum(counts[k // 37 * 37 : k // 37 * 37 + 37])) for k, x in enumerate(counts)]
 
 

@@ -1,5 +1,6 @@
 """Toxicity, language identification, quality and secrets: held-out accuracy and edge cases."""
 
+import math
 import zlib
 
 import numpy as np
@@ -158,6 +159,19 @@ def test_secrets_of_other_shapes(spark):
     assert found == {1, 2, 5}
 
 
+def test_transitions_count_every_pair_of_every_text(spark):
+    long = "".join(chr(97 + i * i * 7 % 26) + "é" * (i % 3) + "😀" * (i % 5 == 0) for i in range(9_000)) + "Zq" * 50
+    texts = [(1, None), (2, ""), (3, "x"), (4, "é"), (5, long), (5, long), (None, "K9 ß\nİx"), (6, "a" * 4096 + "qz"), (7, "7" * 4097)]
+    texts += [(i, f"J{i}x") for i in range(10, 3_010)]
+    n = np.ones((37, 37))
+    for _, t in texts:
+        signs = [secret_scan.SIGNS.find(x) + 1 for x in (t or "").lower()]
+        np.add.at(n, (signs[:-1], signs[1:]), 1)
+    table = secret_scan.transitions(spark.createDataFrame(texts, "doc_id long, text string").repartition(3))
+    assert np.allclose(table, np.log(n / n.sum(1, keepdims=True)).ravel(), rtol=0, atol=1e-12)
+    assert set(secret_scan.transitions(spark.createDataFrame([], "doc_id long, text string"))) == {math.log(1 / 37)}
+
+
 def test_secrets_in_documents_match_their_pattern(spark):
     import re
 
