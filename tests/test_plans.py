@@ -51,3 +51,38 @@ def test_cut_equals_wrapped_symbols(spark):
     rows = spark.createDataFrame([(t,) for t in texts + odd], "text string")
     both = rows.select(symbols.cut(F.col("text"), merges).alias("a"), symbols.tokens_of(symbols.encoded(symbols.sequence_of(F.col("text")), merges)).alias("b"))
     assert all(r["a"] == r["b"] for r in both.collect())
+
+
+def test_array_passes_equal_wrapped_symbols(spark):
+    from lexweave.operators import passes
+
+    rng = random.Random(7)
+    texts = [" ".join("".join(rng.choice("aab😀é") for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(1, 9))) for _ in range(60)] + ["", "a", "aaaa aaa", "▁a b"]
+    tags = [[rng.choice(["NOUN", "DET"]) for _ in t.split(" ")] for t in texts]
+    rows = spark.createDataFrame(list(zip(texts, tags, strict=True)), "text string, tags array<string>").repartition(3)
+    merges = [("a", "a"), ("a", "▁"), ("aa", "a▁"), ("é", "😀"), ("▁", "b"), ("zz", "z")]
+    seq = rows.withColumn("seq", symbols.encoded(symbols.sequence_of(F.col("text")), merges))
+    same = lambda a, b: sorted(map(str, a.select(*b.columns).collect())) == sorted(map(str, b.collect()))
+    assert same(passes.pair_counts(rows, merges), symbols.pair_counts(seq))
+    kept = passes.tagged_texts(rows)
+    assert same(passes.classed_pairs(kept, merges), symbols.classed_pairs(seq))
+    classes, table = passes.classes_and_transitions(kept)
+    assert same(classes, symbols.classed_pairs(rows.withColumn("seq", symbols.sequence_of(F.col("text")))))
+    assert same(table, text.transitions(rows)) and same(passes.transitions(kept), text.transitions(rows))
+
+
+def test_long_batches_are_taken_in_stretches(spark, monkeypatch):
+    import pyarrow as pa
+
+    from lexweave.operators import passes
+
+    monkeypatch.setattr(passes, "STRETCH", 7)
+    batch = pa.RecordBatch.from_arrays([pa.array(["abc", "", "défgh ij", "k", "lm"])], ["text"])
+    found = [([*map(len, p.column(0).to_pylist())], "".join("|" if s < 0 else names[s] for s in symbols_)) for symbols_, names, _, p in passes._stretches(batch)]
+    assert [s for _, s in found] == ["abc||", "défgh▁ij|", "k|lm|"]
+
+
+@pytest.mark.parametrize("name", ["adjacent_pair_counts", "pair_scores_pos"])
+def test_symbols_are_counted_before_the_shuffle_in_arrays(spark, name):
+    plan = "\n".join(optimized(catalogue.QUERIES[name](spark, SF)))
+    assert "Generate explode(transform(" not in plan and "MapInArrow" in plan
