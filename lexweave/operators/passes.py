@@ -11,10 +11,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import BREAK, MARK, once
+from ..functions.scalars import BREAK, CLOSE, MARK, OPEN, once
+from .symbols import encoded, sequence_of, tokens_of
 from .text import with_chances
 
 #: Characters that are looked at together, counts that a task holds at most, and bins of a histogram at most.
@@ -72,6 +73,26 @@ def merged(symbols: np.ndarray, names: list[str], merges) -> np.ndarray:
     return symbols
 
 
+def cut(text: Column, merges) -> Column:
+    """The symbols of each text under merges in rank order, breaks dropped; null for null. A text that holds the signs
+    which wrap symbols is cut as `symbols.encoded` cuts it. [M4 M5 P8]"""
+    merges = [tuple(m) for m in merges]
+
+    @F.arrow_udf("array<string>")
+    def tokens(texts: pa.Array) -> pa.Array:
+        parts = [pa.array([], pa.list_(pa.string()))]
+        for symbols, names, _, _ in _stretches(pa.RecordBatch.from_arrays([texts.fill_null("")], ["text"])):
+            symbols = merged(symbols, names, merges)
+            symbols = symbols[symbols != _BREAK]
+            inner = symbols != _EDGE
+            offsets = np.concatenate(([0], np.cumsum(inner)[~inner])).astype(np.int32)
+            parts.append(pa.ListArray.from_arrays(offsets, pa.array(names, pa.string()).take(pa.array(symbols[inner]))))
+        return pa.concat_arrays(parts)
+
+    wrapped = tokens_of(encoded(sequence_of(text), merges))
+    return F.when(text.rlike(f"[{OPEN}{CLOSE}]"), wrapped).when(text.isNotNull(), tokens(text))
+
+
 def _tally(key: np.ndarray, bins: int, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and how often, or with what weight, each occurs."""
     if bins > BINS:

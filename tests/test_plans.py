@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lexweave.operators import symbols, text
+from lexweave.operators import passes, symbols, text
 from lexweave.plans import catalogue
 from lexweave.plans.models import MERGES
 
@@ -46,16 +46,14 @@ def test_kinds_equal_tagged_words(spark):
 def test_cut_equals_wrapped_symbols(spark):
     rng = random.Random(4)
     texts = ["".join(rng.choice("then ioas ") for _ in range(rng.randrange(60))).strip() for _ in range(200)]
-    odd = ["", "a", "the ⟨th⟩ then", "the ", "th␀e", "😀the 😀", "▁the▁ t"]
+    odd = [None, "", "a", "the ⟨th⟩ then", "the ", "th␀e", "😀the 😀", "▁the▁ t"]
     merges = [*MERGES, ("a", "a"), ("zz", "z"), ("t", "he▁")]
     rows = spark.createDataFrame([(t,) for t in texts + odd], "text string")
-    both = rows.select(symbols.cut(F.col("text"), merges).alias("a"), symbols.tokens_of(symbols.encoded(symbols.sequence_of(F.col("text")), merges)).alias("b"))
+    both = rows.select(passes.cut(F.col("text"), merges).alias("a"), symbols.tokens_of(symbols.encoded(symbols.sequence_of(F.col("text")), merges)).alias("b"))
     assert all(r["a"] == r["b"] for r in both.collect())
 
 
 def test_array_passes_equal_wrapped_symbols(spark):
-    from lexweave.operators import passes
-
     rng = random.Random(7)
     texts = [" ".join("".join(rng.choice("aab😀é") for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(1, 9))) for _ in range(60)] + ["", "a", "aaaa aaa", "▁a b"]
     tags = [[rng.choice(["NOUN", "DET"]) for _ in t.split(" ")] for t in texts]
@@ -74,8 +72,6 @@ def test_array_passes_equal_wrapped_symbols(spark):
 def test_long_batches_are_taken_in_stretches(spark, monkeypatch):
     import pyarrow as pa
 
-    from lexweave.operators import passes
-
     monkeypatch.setattr(passes, "STRETCH", 7)
     batch = pa.RecordBatch.from_arrays([pa.array(["abc", "", "défgh ij", "k", "lm"])], ["text"])
     found = [([*map(len, p.column(0).to_pylist())], "".join("|" if s < 0 else names[s] for s in symbols_)) for symbols_, names, _, p in passes._stretches(batch)]
