@@ -33,7 +33,8 @@ def test_lines_are_squeezed_once(spark):
 
 
 def test_texts_are_cut_once(spark):
-    assert not any("Filter" in line and "aggregate(" in line for line in optimized(catalogue.seed_jaccard(spark, SF)))
+    plan = optimized(catalogue.bpe_encode(spark, SF))
+    assert "\n".join(plan).count("tokens(") == 1 and not any("Filter" in line and "tokens(" in line for line in plan)
 
 
 def test_kinds_equal_tagged_words(spark):
@@ -82,3 +83,38 @@ def test_long_batches_are_taken_in_stretches(spark, monkeypatch):
 def test_symbols_are_counted_before_the_shuffle_in_arrays(spark, name):
     plan = "\n".join(optimized(catalogue.QUERIES[name](spark, SF)))
     assert "Generate explode(transform(" not in plan and "MapInArrow" in plan
+
+
+def test_seeds_are_counted_in_one_pass(spark):
+    from lexweave.operators import score, vocab
+
+    rng = random.Random(11)
+    texts = [" ".join("".join(rng.choice("the ions") for _ in range(6)).split()) or "t" for _ in range(80)]
+    rows = spark.createDataFrame([(rng.choice(["en", "es", None]), t, rng.random() < 0.4) for t in texts], "lang string, text string, held boolean").repartition(3)
+    models = {0: list(MERGES), 1: list(MERGES[3:])}
+    cut = rows.select("lang", "text", "held", *[passes.cut(F.col("text"), m).alias(f"t{k}") for k, m in models.items()])
+    same = lambda a, b: sorted(map(str, a.select(*b.columns).collect())) == sorted(map(str, b.collect()))
+    for k in models:
+        want = vocab.vocabulary(cut.select("lang", F.col(f"t{k}").alias("tokens")), "lang")
+        assert same(passes.vocabularies(rows, models).where(F.col("seed") == k).drop("seed"), want)
+    sums = passes.agreements(rows, models).select("lang", "a", "b", F.round(2 * F.col("both") / (2 * F.col("both") + F.col("apart")), 6).alias("agreement"))
+    assert same(sums, score.agreements(cut, {0: "t0", 1: "t1"}))
+    known = rows.where("lang IS NOT NULL")
+    want = vocab.held_out_bits(cut.where("lang IS NOT NULL").withColumnRenamed("t0", "tokens"))
+    assert same(vocab.bits_of(passes.ended_pairs(known, models[0]), known), want)
+    for name in ("seed_jaccard", "seed_agreement", "ngram_bits_per_char"):
+        plan = "\n".join(optimized(catalogue.QUERIES[name](spark, SF)))
+        assert "MapInArrow" in plan and "Generate explode(tokens" not in plan
+
+
+def test_few_rows_are_ranked(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("lang"), F.md5(F.col("id").cast("string").cast("binary")).alias("key"), "id").union(spark.createDataFrame([("c", "ff", -1)], "lang string, key string, id long"))
+    first = text.first_by_key(rows, 1500)
+    want = {}
+    for r in rows.collect():
+        want.setdefault(r["lang"], []).append(r["key"])
+    got = first.collect()
+    assert {(r["lang"], r["key"], r["rn"]) for r in got} == {(k, x, i + 1) for k, v in want.items() for i, x in enumerate(sorted(v)[:1500])}
+    # What is ranked is what a window over the plan's last filter sees: hardly more than what is taken.
+    plan = "\n".join(optimized(first))
+    assert "_last" in plan[plan.index("row_number") :]
