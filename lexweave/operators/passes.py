@@ -93,6 +93,28 @@ def cut(text: Column, merges) -> Column:
     return F.when(text.rlike(f"[{OPEN}{CLOSE}]"), wrapped).when(text.isNotNull(), tokens(text))
 
 
+def sizes(text: Column, models: list) -> Column:
+    """How many symbols each text has under each merge list; a list that goes on from the one before it starts where that ended."""
+    models = [[tuple(m) for m in merges] for merges in models]
+
+    @F.arrow_udf("array<long>")
+    def many(texts: pa.Array) -> pa.Array:
+        parts = [pa.array([], pa.list_(pa.int64()))]
+        for symbols, names, size, _ in _stretches(pa.RecordBatch.from_arrays([texts.fill_null("")], ["text"])):
+            columns, before, made, own = [], [], symbols.copy(), list(names)
+            for merges in models:
+                if merges[: len(before)] != before:
+                    before, made, own = [], symbols.copy(), list(names)
+                made = merged(made, own, merges[len(before) :])
+                before = merges
+                columns.append(np.diff(np.flatnonzero(made == _EDGE), prepend=-1) - 1)
+            offsets = np.arange(len(size) + 1, dtype=np.int32) * len(models)
+            parts.append(pa.ListArray.from_arrays(offsets, pa.array(np.stack(columns, 1).ravel().astype(np.int64))))
+        return pa.concat_arrays(parts)
+
+    return F.when(text.isNotNull(), many(text))
+
+
 def _tally(key: np.ndarray, bins: int, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and how often, or with what weight, each occurs."""
     if bins > BINS:

@@ -118,3 +118,11 @@ def test_few_rows_are_ranked(spark):
     # What is ranked is what a window over the plan's last filter sees: hardly more than what is taken.
     plan = "\n".join(optimized(first))
     assert "_last" in plan[plan.index("row_number") :]
+
+
+def test_sizes_count_the_symbols(spark):
+    rows = spark.createDataFrame([(t,) for t in ("the then in the end", "", None, "aaa a", "th th")], "text string")
+    models = [MERGES[:2], MERGES[:9], (("a", "a"),), MERGES]
+    got = rows.select(passes.sizes(F.col("text"), models).alias("n"), *[passes.cut(F.col("text"), m).alias(f"t{k}") for k, m in enumerate(models)]).collect()
+    assert all(r["n"] == (None if r["t0"] is None else [len(r[f"t{k}"]) for k in range(4)]) for r in got)
+    assert "⟩⟨" not in "\n".join(optimized(catalogue.run_metrics_mean_sd(spark, SF)))
